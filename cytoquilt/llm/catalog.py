@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe
+from . import bpe, toxicity
 
-MODULES = (bpe,)
+MODULES = (bpe, toxicity)
 
 
 def queries() -> dict[str, Callable]:
