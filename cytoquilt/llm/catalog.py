@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, toxicity
+from . import bpe, lines, toxicity
 
-MODULES = (bpe, toxicity)
+MODULES = (lines, bpe, toxicity)
 
 
 def queries() -> dict[str, Callable]:
