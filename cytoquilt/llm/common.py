@@ -32,7 +32,7 @@ def field(df: DataFrame, name: str, to: str | None = None) -> StructField:
 def scan_bytes(df: DataFrame) -> int:
     """Size of the files under a plan as the optimizer knows it; reads no data."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # a plan without statistics
         return 1 << 30
 
