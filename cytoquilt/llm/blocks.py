@@ -59,6 +59,20 @@ class Buckets:
 
         return (self.docs if what is None else what).groupBy("bucket").applyInArrow(run, schema)
 
+    def ask_again(self, answers: DataFrame, pack: Callable, columns: tuple[str, ...]) -> DataFrame:
+        """Like ask(), after answers to an earlier question: pack(table, answers as a list of dicts)."""
+        schema = StructType([*BLOCK.fields, *(StructField(c, BinaryType()) for c in columns)])
+        arrow = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in columns)])
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            bucket = left.column("bucket")[0].as_py() if left.num_rows else None
+            found = pack(left, right.to_pylist()) if left.num_rows else {}
+            cols = [list(found), [bucket] * len(found), [v[0] for v in found.values()]]
+            cols += [[v[1 + i] for v in found.values()] for i in range(len(columns))]
+            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+        return self.docs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)
+
     def answer(self, blocks: DataFrame, reply: Callable, columns: tuple[str, ...]) -> DataFrame:
         """reply(blocks of one shard as a list of dicts) -> list of (bucket, n, bytes, ...)."""
         schema = StructType([*BLOCK.fields[1:], *(StructField(c, BinaryType()) for c in columns)])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, lines, toxicity
+from . import bpe, lines, passages, toxicity
 
-MODULES = (lines, bpe, toxicity)
+MODULES = (passages, lines, bpe, toxicity)
 
 
 def queries() -> dict[str, Callable]:
