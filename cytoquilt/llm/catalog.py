@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, lines, passages, toxicity
+from . import bpe, lines, passages, toxicity, warc
 
-MODULES = (passages, lines, bpe, toxicity)
+MODULES = (warc, passages, lines, bpe, toxicity)
 
 
 def queries() -> dict[str, Callable]:
