@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, lines, passages, toxicity, warc
+from . import bpe, lines, neardup, passages, toxicity, warc
 
-MODULES = (warc, passages, lines, bpe, toxicity)
+MODULES = (warc, passages, lines, bpe, toxicity, neardup)
 
 
 def queries() -> dict[str, Callable]:
