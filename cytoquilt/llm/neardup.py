@@ -219,7 +219,8 @@ def confirm(rows: DataFrame, num: int, den: int, parts: int) -> DataFrame:
                 if den * both >= num * (n + m - both):
                     forest.join(i, j)
                     out.append((i, j))
-        return out
+        # without earlier knowledge a group's links are told as stars around its least ids
+        return [(i, r) for i in {x for x, _ in found} if (r := forest.find(i)) != i] if not known else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, comps, keys, raws = None, [], [], [], []

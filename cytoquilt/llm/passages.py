@@ -9,8 +9,8 @@ Rounds over the block exchange:
 3. Each bucket joins its confirmed windows to passages, compiles these into one
    Aho-Corasick automaton (a shard of the whole: its size is bounded by the bucket), and
    streams all its documents through it to locate every occurrence.
-A document's words become code points by a dictionary of the bucket, so that the automaton
-steps over words, not letters.
+A document's words become a few code points each by a dictionary of the bucket, so that the
+automaton steps over words, not letters.
 """
 
 from __future__ import annotations
@@ -87,22 +87,37 @@ def least_of(g: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(part[: len(g) - w + 1], part[w - size : w - size + len(g) - w + 1])
 
 
-def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """The anchor hash of every window."""
-    if len(h) < window:
-        return np.zeros(0, np.uint64)
-    return least_of(rolling(h, gram, 1), window - gram + 1)
+class Words:
+    """The words of a bucket's documents, end to end, so that numpy steps over all of them at once."""
 
+    def __init__(self, raws: list[bytes], window: int, gram: int):
+        parts = [word_hashes(r) for r in raws]
+        self.h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.cut = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        self.window, self.gram = window, gram
+        n = max(0, len(self.h) - window + 1)
+        left = np.repeat(self.cut[1:], np.diff(self.cut)) - np.arange(len(self.h))
+        #: whether a window starts here that ends within its document
+        self.whole = left[:n] >= window
 
-def anchor_places(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """Anchor hashes, once for each place at which a run of words is the anchor of some window."""
-    if len(h) < window:
-        return np.zeros(0, np.uint64)
-    g, w = rolling(h, gram, 1), window - gram + 1
-    pad = np.zeros(w - 1, np.uint64)
-    # of the windows over a place, the greatest least hash: the place's own if it is an anchor at all
-    most = ~least_of(~np.concatenate([pad, least_of(g, w), pad]), w)
-    return g[most == g]
+    def anchors(self) -> np.ndarray:
+        """The anchor hash of every window, whole or not."""
+        if not len(self.whole):
+            return np.zeros(0, np.uint64)
+        return least_of(rolling(self.h, self.gram, 1), self.window - self.gram + 1)
+
+    def anchor_places(self) -> np.ndarray:
+        """Anchor hashes, once for each place at which a run of words is the anchor of some whole window."""
+        if not self.whole.any():
+            return np.zeros(0, np.uint64)
+        g, w = rolling(self.h, self.gram, 1), self.window - self.gram + 1
+        pad = np.zeros(w - 1, np.uint64)
+        # of the windows over a place, the greatest least hash: the place's own if it is an anchor at all
+        most = ~least_of(~np.concatenate([pad, np.where(self.whole, least_of(g, w), np.uint64(0)), pad]), w)
+        return g[most == g]
+
+    def windows(self) -> np.ndarray:
+        return window_hashes(self.h, self.window)
 
 
 def window_hashes(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -161,11 +176,18 @@ def recurring(blocks: list[dict], kind) -> list[tuple]:
     return out
 
 
+#: A word is DIGITS code points, each from a range of its own of 1 << SHIFT values: matches start at words
+#: only, and no node of an automaton has more children than a range has values (they are searched one by one).
+DIGITS, SHIFT = 3, 7
+
+
 def as_codes(rank: np.ndarray) -> str:
-    """Numbers below 1.1 million as a string of one code point each, surrogates left out."""
-    code = rank.astype("<u4") + np.uint32(1)
-    code[code >= 0xD800] += np.uint32(0x800)
-    return code.tobytes().decode("utf-32-le")
+    """Numbers below 1 << (DIGITS * SHIFT) as a string of DIGITS code points each."""
+    low = (1 << SHIFT) - 1
+    code = np.empty((len(rank), DIGITS), "<u2")
+    for d in range(DIGITS):
+        code[:, d] = ((rank >> (SHIFT * (DIGITS - 1 - d))) & low) + 1 + (d << SHIFT)
+    return code.tobytes().decode("utf-16-le")
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -173,54 +195,40 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def locate(docs: list[np.ndarray], confirmed: np.ndarray, window: int) -> list[np.ndarray | None]:
-    """Covered words of each document (None: none), by automata over the bucket's passages.
-
-    A bucket with more distinct words than there are code points takes several automata.
-    """
-    out: list[np.ndarray | None] = [None] * len(docs)
-    if not len(confirmed):
+def locate(words: Words, confirmed: np.ndarray) -> list[np.ndarray | None]:
+    """Covered words of each document (None: none), by an automaton over the bucket's passages."""
+    n_docs, window = len(words.cut) - 1, words.window
+    out: list[np.ndarray | None] = [None] * n_docs
+    if not len(confirmed) or not len(words.whole):
+        return out
+    flags = member(confirmed, words.windows()) & words.whole
+    if not flags.any():
+        return out
+    vocabulary, rank = np.unique(words.h, return_inverse=True)
+    if len(vocabulary) >= 1 << (DIGITS * SHIFT):
+        # a text of over two million different words: the confirmed windows say directly what an automaton would
+        for i in range(n_docs):
+            own = flags[words.cut[i] : words.cut[i + 1]]
+            if own.any():
+                out[i] = spread(own[: max(0, words.cut[i + 1] - words.cut[i] - window + 1)], int(words.cut[i + 1] - words.cut[i]), window)
         return out
-    room, todo = 1_000_000, list(range(len(docs)))
-    while todo:
-        some, words = [], 0
-        while todo and (not some or words + len(docs[todo[0]]) <= 3 * room):
-            words += len(docs[todo[0]])
-            some.append(todo.pop(0))
-        vocabulary, rank = np.unique(np.concatenate([docs[i] for i in some]), return_inverse=True)
-        if len(vocabulary) > room:
-            if len(some) > 1:
-                half = len(some) // 2
-                for part in (some[:half], some[half:]):
-                    for i, c in zip(part, locate([docs[i] for i in part], confirmed, window)):
-                        out[i] = c
-                continue
-            # one text of over a million different words: the confirmed windows say it directly
-            flags = member(confirmed, window_hashes(docs[some[0]], window))
-            if flags.any():
-                out[some[0]] = spread(flags, len(docs[some[0]]), window)
-            continue
-        automaton, coded, at = ahocorasick.Automaton(), [], 0
-        for i in some:
-            n = len(docs[i])
-            coded.append(text := as_codes(rank[at : at + n]))
-            at += n
-            if n >= window:
-                for a, b in runs(member(confirmed, window_hashes(docs[i], window))):
-                    phrase = text[a : b + window - 1]
-                    automaton.add_word(phrase, len(phrase))
-        if not len(automaton):
-            continue
-        automaton.make_automaton()
-        for i, text in zip(some, coded):
-            covered = None
-            for end, size in automaton.iter(text):
+    text = as_codes(rank)
+    automaton = ahocorasick.Automaton()
+    for phrase in {text[DIGITS * a : DIGITS * (b + window - 1)] for a, b in runs(flags)}:
+        automaton.add_word(phrase, len(phrase) // DIGITS)
+    automaton.make_automaton()
+    for i in range(n_docs):
+        a, b = int(words.cut[i]), int(words.cut[i + 1])
+        covered = None
+        if b - a >= window:
+            for end, size in automaton.iter(text[DIGITS * a : DIGITS * b]):
                 if covered is None:
-                    covered = np.zeros(len(text) + 1, np.int32)
+                    covered = np.zeros(b - a + 1, np.int32)
+                end //= DIGITS
                 covered[end - size + 1] += 1
                 covered[end + 1] -= 1
-            if covered is not None:
-                out[i] = np.cumsum(covered[:-1]) > 0
+        if covered is not None:
+            out[i] = np.cumsum(covered[:-1]) > 0
     return out
 
 
@@ -242,33 +250,24 @@ def dedup_passages(docs: DataFrame, each: Callable, schema: StructType, id_col:
     shards = b.shards
 
     def pack_anchors(t: pa.Table) -> dict:
-        found = []
-        for raw in texts(t):
-            found.append(anchor_places(word_hashes(raw), window, gram))
-        keys, n = distinct(np.concatenate(found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keys, n = distinct(Words(list(texts(t)), window, gram).anchor_places())
         return by_shard(keys, shards, np.minimum(n, 2).astype(np.uint8))
 
     def pack_windows(t: pa.Table, answers: list[dict]) -> dict:
-        hot = np.sort(np.concatenate([np.frombuffer(x["keys"], np.uint64) for x in answers])) if answers else np.zeros(0, np.uint64)
-        found = []
-        for raw in texts(t) if len(hot) or answers else []:
-            h = word_hashes(raw)
-            if len(h) < window:
-                continue
-            mine = member(hot, anchors(h, window, gram))
-            if mine.any():
-                found.append(window_hashes(h, window)[mine])
-        keys, n = distinct(np.concatenate(found)) if found else (np.zeros(0, KEY16), np.zeros(0, np.int64))
+        if not answers:
+            return {}
+        hot = np.sort(np.concatenate([np.frombuffer(x["keys"], np.uint64) for x in answers]))
+        words = Words(list(texts(t)), window, gram)
+        mine = member(hot, words.anchors()) & words.whole
+        keys, n = distinct(words.windows()[mine])
         return by_shard(keys, shards, np.minimum(n, 2).astype(np.uint8))
 
     def tell(t: pa.Table, answers: list[dict]) -> list:
         raws = list(texts(t))
+        covered: list = [None] * len(raws)
         if answers:
             confirmed = np.concatenate([np.frombuffer(x["keys"], KEY16) for x in answers])
-            confirmed = confirmed[np.argsort(confirmed["lo"], kind="stable")]
-            covered = locate([word_hashes(r) for r in raws], confirmed, window)
-        else:
-            covered = [None] * len(raws)
+            covered = locate(Words(raws, window, gram), confirmed[np.argsort(confirmed["lo"], kind="stable")])
         return list(zip(*(each(raw.split(), c) for raw, c in zip(raws, covered))))
 
     first = b.answer(b.ask(pack_anchors, ("keys", "times")), lambda x: recurring(x, np.dtype(np.uint64)), ("keys",))

@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from .common import crc_mod, field, table, tune
 
 #: Labelled rows (clean, toxic) that the model is fitted on at most: the bound of the driver's sample.
-SAMPLE_PER_CLASS = (2400, 1200)
+SAMPLE_PER_CLASS = (1600, 800)
 #: Hashed weights: 2**BITS doubles, the fixed size of what is broadcast.
 BITS = 17
 #: Words that a Python worker keeps with their weights.
