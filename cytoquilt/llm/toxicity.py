@@ -11,6 +11,7 @@ toxic document do not turn all its rare words into toxic ones.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -260,7 +261,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: Callable[[DataFra
     learn = train(labels) if train else labels
     model = fit(*sample(docs, learn, per_class, id_col, text_col))
     model.held = None
-    shared, key = spark.sparkContext.broadcast(model), str(id(model)) + str(model.cal.tolist())
+    shared, key = spark.sparkContext.broadcast(model), os.urandom(8).hex()
     keep = [id_col, *carry]
     schema = [field(docs, c) for c in keep] + [StructField("score", DoubleType())]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
