@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, decontaminate, lines, neardup, passages, toxicity, warc
+from . import bpe, decontaminate, interpolation, lines, neardup, passages, toxicity, warc
 
-MODULES = (decontaminate, warc, passages, lines, bpe, toxicity, neardup)
+MODULES = (decontaminate, warc, interpolation, passages, lines, bpe, toxicity, neardup)
 
 
 def queries() -> dict[str, Callable]:

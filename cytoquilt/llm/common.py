@@ -29,12 +29,14 @@ def field(df: DataFrame, name: str, to: str | None = None) -> StructField:
     return StructField(to or name, df.schema[name].dataType, True)
 
 
+#: A plan's size when the optimizer does not know it (rows of an RDD): so much for each partition.
+UNKNOWN_EACH = 16 << 20
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Size of the files under a plan as the optimizer knows it; reads no data."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # a plan without statistics
-        return 1 << 30
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else UNKNOWN_EACH * df.rdd.getNumPartitions()
 
 
 def parts_for(df: DataFrame, each: int = 8 << 20, least: int = 2) -> int:
