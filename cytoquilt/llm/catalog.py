@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, decontaminate, interpolation, labeller, lines, neardup, passages, toxicity, warc
+from . import bpe, decontaminate, interpolation, itq, labeller, lines, neardup, passages, toxicity, warc
 
-MODULES = (decontaminate, warc, labeller, interpolation, passages, lines, bpe, toxicity, neardup)
+MODULES = (decontaminate, warc, labeller, interpolation, passages, lines, bpe, toxicity, itq, neardup)
 
 
 def queries() -> dict[str, Callable]:

@@ -132,18 +132,49 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: st
     form. Every text is read whole and once per PASS_CHARS of items; documents are not shuffled.
     """
     spark = tune(docs.sparkSession)
-    size = items.agg(F.sum(F.length(F.col(item_text)) + 40)).first()[0] or 0
-    passes = int(-(-size // PASS_CHARS)) or 1
+    passes = _passes(items, item_text)
     schema = StructType([field(docs, id_col), field(items, item_id), StructField("distance", IntegerType()), StructField("end", IntegerType()), StructField("stretch", StringType())])
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__raw"))
     out = None
     for n in range(passes):
-        some = items.where(F.pmod(F.xxhash64(F.col(item_text)), F.lit(passes)) == n).select(item_id, item_text).collect()
-        out_n = rows.mapInArrow(_runner(spark.sparkContext.broadcast(sorted([(r[0], r[1]) for r in some], key=str)), rate, id_col, item_id), schema)
+        out_n = rows.mapInArrow(_runner(_some(items, item_id, item_text, n, passes), rate, id_col, item_id), schema)
         out = out_n if out is None else out.union(out_n)
     return out
 
 
+def _passes(items: DataFrame, item_text: str) -> int:
+    size = items.agg(F.sum(F.length(F.col(item_text)) + 40)).first()[0] or 0
+    return int(-(-size // PASS_CHARS)) or 1
+
+
+def _some(items: DataFrame, item_id: str, item_text: str, n: int, passes: int):
+    """The items of one pass, broadcast: about PASS_CHARS characters."""
+    some = items.where(F.pmod(F.xxhash64(F.col(item_text)), F.lit(passes)) == n).select(item_id, item_text).collect()
+    return items.sparkSession.sparkContext.broadcast(sorted([(r[0], r[1]) for r in some], key=str))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no item; one pass of the items after the other."""
+    tune(docs.sparkSession)
+    passes = _passes(items, item_text)
+    for n in range(passes):
+        shared, key = _some(items, item_id, item_text, n, passes), os.urandom(8).hex()
+        docs = docs.withColumn("__raw", docs[text_col].cast("binary")).mapInArrow(_filter(shared, rate, key), docs.schema)
+    return docs
+
+
+def _filter(shared, rate: float, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _HELD:
+            _HELD.clear()
+            _HELD[key] = Matcher(shared.value, rate)
+        for batch in batches:
+            clean = [not _HELD[key].find((raw.as_py() or b"").decode("utf-8", "replace")) for raw in batch.column(batch.num_columns - 1)]
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 def _runner(shared, rate: float, id_col: str, item_id: str):
     key = os.urandom(8).hex()
 
