@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: tuple = ()
+from .plans import layouts
+
+MODULES: tuple = (layouts,)
 
 
 def queries() -> dict[str, Callable]:
