@@ -57,11 +57,13 @@ def unpack_keys(raw: bytes) -> np.ndarray:
 def pack_counts(n: np.ndarray) -> bytes:
     top = int(n.max()) if len(n) else 0
     kind = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([kind]) + zlib.compress(n.astype(f"<u{kind}").tobytes(), 1)
+    planes = n.astype(f"<u{kind}").view(np.uint8).reshape(-1, kind).T  # like bytes together compress better
+    return bytes([kind]) + zlib.compress(planes.tobytes(), 1)
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64)
 
 
 class Tokens:
@@ -203,20 +205,18 @@ def count(docs: DataFrame, id_col: str, text_col: str, mod: int, rest: int) -> D
         rows = []
         for i in range(len(x.cut) - 1):
             a, e = x.cut[i], x.cut[i + 1]
-            raw = [pack_counts(v[a:e]) for v in (c, p, w)]
+            raw = [pack_counts(v[a:e]) for v in (p, w)]
             rows.append((not bool(train[i]), int(e - a), int(known[i]), float(logs[i]), types if i == 0 else 0, histogram if i == 0 else None, b"".join(len(r).to_bytes(4, "little") + r for r in raw)))
         return list(zip(*rows))
 
     return b.meet(b.answer(b.ask(pack, ("k1", "n1", "k2", "n2")), reply, ("n1", "n2", "lead")), tell, STATS)
 
 
-def split_counts(raw: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    for _ in range(3):
-        size = int.from_bytes(raw[at : at + 4], "little")
-        out.append(unpack_counts(raw[at + 4 : at + 4 + size]))
-        at += 4 + size
-    return out
+def split_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, bigram, word) counts of a text. A token's context is the word before it; the first one's, the end."""
+    size = int.from_bytes(raw[:4], "little")
+    pair, word = unpack_counts(raw[4 : 4 + size]), unpack_counts(raw[8 + size :])
+    return np.concatenate([word[-1:], word[:-1]]), pair, word
 
 
 def log_prob(context: np.ndarray, pair: np.ndarray, word: np.ndarray, weights: np.ndarray, tokens: int, types: int) -> float:
