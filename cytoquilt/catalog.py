@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import layouts
+from .plans import harmonize, ingest, layouts, selection
 
-MODULES: tuple = (layouts,)
+MODULES: tuple = (layouts, selection, ingest, harmonize)
 
 
 def queries() -> dict[str, Callable]:
