@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import harmonize, ingest, layouts, selection
+from .plans import embedding, harmonize, ingest, layouts, preprocessing, selection, viewer
 
-MODULES: tuple = (layouts, selection, ingest, harmonize)
+MODULES: tuple = (layouts, selection, ingest, harmonize, preprocessing, embedding, viewer)
 
 
 def queries() -> dict[str, Callable]:
