@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import embedding, harmonize, ingest, layouts, preprocessing, selection, viewer
+from .plans import embedding, harmonize, ingest, layouts, preprocessing, selection, versioning, viewer
 
-MODULES: tuple = (layouts, selection, ingest, harmonize, preprocessing, embedding, viewer)
+MODULES: tuple = (layouts, selection, ingest, harmonize, preprocessing, embedding, viewer, versioning)
 
 
 def queries() -> dict[str, Callable]:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions.shapes import first_part, replace_first, strip_space
 from ..operators import harmonize as H
 from ..operators.positions import positions
 from ..session import table
+from ..sources.files import scratch
 from ..sources.readers import read_csv
 from .binding import obs
 
@@ -93,7 +91,7 @@ def dq_report(spark, d):
 
 def csv_nulls(spark, d):
     """Customers written as CSV with NA, blank and broken cells, read again with these as nulls."""
-    where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/csv-{os.urandom(4).hex()}" if "://" in d else tempfile.mkdtemp(prefix="csv-") + "/t"
+    where = scratch(spark, "csv")
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 == 0, F.lit("NA")).when(F.col("c_custkey") % 5 == 1, F.lit("")).otherwise(F.col("c_mktsegment")).alias("seg"), F.when(F.col("c_custkey") % 7 == 0, F.lit("x")).otherwise(F.col("c_nationkey").cast("string")).alias("n"))
     rows.write.option("header", True).option("quoteAll", True).csv(where)
     return read_csv(spark, where, "id long, seg string, n int")

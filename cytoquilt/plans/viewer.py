@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import benchstats as B
 from ..operators.embed import fit_view as view
 from ..session import table
+from ..sources.files import scratch
 from ..sources.readers import read_runs
 
 
@@ -32,7 +30,7 @@ def interval_union(spark, d):
 def compare_runs(spark, d):
     """Runs written as JSON in three forms, read again and compared."""
     t = _timed(spark, d).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("median_s"))
-    where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/runs-{os.urandom(4).hex()}" if "://" in d else tempfile.mkdtemp(prefix="runs-") + "/t"
+    where = scratch(spark, "runs")
     t.coalesce(1).write.json(where)
     runs = read_runs(spark, where, "event_type: string, median_s: double")
     return B.compared(runs, "median_s", ["event_type"]).select(F.col("event_type").alias("store"), "median_s", F.round("xslow", 6).alias("xslow"))
