@@ -136,40 +136,48 @@ def words_of(text: str) -> list[str]:
 def fit(texts: list[str], toxic: list[int], epochs: int = 16) -> Chain:
     """Fit a chain on labelled texts; with one class only, every score is low."""
     model = Chain()
-    docs, y = [words_of(t) for t in texts], np.array(toxic, dtype=float)
+    y = np.array(toxic, dtype=float)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         model.cal = np.array([-4.0, 0.0, 0.0])
         return model
-    have: tuple[Counter, Counter] = Counter(), Counter()
-    beside: tuple[set, set] = set(), set()
-    for d, label in zip(docs, y):
-        for before, w, after in zip(["", *d], d, [*d[1:], ""]):
-            if (context := hash((before, w, after))) not in beside[int(label)]:
-                beside[int(label)].add(context)
-                have[int(label)][w] += 1
-    by_feature: tuple[Counter, Counter] = Counter(), Counter()
-    for k in (0, 1):
-        for w, c in have[k].items():
-            for f in features(w):
-                by_feature[k][f] += c
-    # a feature marks toxic tokens if chance would hardly put so many of its contexts into toxic documents
-    base = sum(have[1].values()) / max(1, sum(have[0].values()) + sum(have[1].values()))
-    need, marks = np.log(20.0 * max(1, len(by_feature[1]))), set()
-    for f, c in by_feature[1].items():
-        n = c + by_feature[0][f]
-        q = c / n
-        if c >= 5 and q > max(0.9, base):
-            gain = c * np.log(q / base) + ((n - c) * np.log((1 - q) / (1 - base)) if n > c else 0.0)
-            if gain >= need:
-                marks.add(f)
     keys: dict[str, int] = {}
-    flat, tags, cuts = [], [], [0]
-    for d, label in zip(docs, y):
-        flat += [keys.setdefault(w, len(keys)) for w in d]
-        tags += [float(label == 1 and not marks.isdisjoint(features(w))) for w in d] if label else [0.0] * len(d)
-        cuts.append(len(flat))
-    flat_a, tags_a = np.array(flat, dtype=np.int64), np.array(tags)
+    parts = [np.fromiter((keys.setdefault(w, len(keys)) for w in words_of(t)), np.int64) for t in texts]
+    flat_a, cuts = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).tolist()
+    in_toxic = np.repeat(y == 1, [len(p) for p in parts])
+    del parts
+    first = np.zeros(len(flat_a), dtype=bool)
+    first[[c for c in cuts[:-1] if c < len(flat_a)]] = True
+    last = np.concatenate([first[1:], [True]]) if len(flat_a) else first
+    before = np.where(first, -1, np.concatenate([[-1], flat_a[:-1]]))
+    after = np.where(last, -1, np.concatenate([flat_a[1:], [-1]]))
+    context = (before * 1_000_003 + flat_a) * 1_000_003 + after
+    have = []
+    for label in (False, True):
+        on = in_toxic == label
+        _, at = np.unique(context[on], return_index=True)
+        have.append(np.bincount(flat_a[on][at], minlength=len(keys)))
+    # a feature marks toxic tokens if chance would hardly put so many of its contexts into toxic documents;
+    # words come first, and prefixes are judged by the words that do not mark by themselves
+    base = have[1].sum() / max(1, have[0].sum() + have[1].sum())
+    marks: set[str] = set()
+    for whole in (True, False):
+        by_feature: tuple[Counter, Counter] = Counter(), Counter()
+        for w, k in keys.items():
+            names = features(w)
+            for f in names[:1] if whole else names[1:] if names[0] not in marks else []:
+                by_feature[0][f] += int(have[0][k])
+                by_feature[1][f] += int(have[1][k])
+        need = np.log(20.0 * max(1, sum(c > 0 for c in by_feature[1].values())))
+        for f, c in by_feature[1].items():
+            n = c + by_feature[0][f]
+            q = c / n if n else 0.0
+            if c >= 5 and q > max(0.9, base):
+                gain = c * np.log(q / base) + ((n - c) * np.log((1 - q) / (1 - base)) if n > c else 0.0)
+                if gain >= need:
+                    marks.add(f)
+    marked = np.array([not marks.isdisjoint(features(w)) for w in keys])
+    tags_a = (marked[flat_a] & in_toxic).astype(float) if len(flat_a) else np.zeros(0)
     if not tags_a.any():
         model.cal = np.array([-4.0, 0.0, 0.0])
         return model
@@ -181,8 +189,6 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 16) -> Chain:
     slot_a, owner_a = np.array(table_), np.array(owner)
     size = np.maximum(1, np.bincount(owner_a, minlength=len(keys)))
     # observed transitions
-    first = np.zeros(len(flat_a), dtype=bool)
-    first[[c for c in cuts[:-1] if c < len(flat_a)]] = True
     prev = np.concatenate([[0.0], tags_a[:-1]])
     seen = np.array([[(~first & (prev == i) & (tags_a == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
     total = len(flat_a)
