@@ -98,6 +98,8 @@ def rerank(rows: DataFrame, cosine: float, parts: int) -> DataFrame:
 
     def group(lo: int, hi: int, part: np.ndarray, rep: np.ndarray, k: np.ndarray, x: np.ndarray) -> list[tuple]:
         a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        if not len(a) or not len(b):
+            return []
         n, forest = np.zeros(len(rep), np.int64), Forest()
         for s in range(0, len(a), 256):
             mine = a[s : s + 256]
