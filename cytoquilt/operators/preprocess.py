@@ -53,16 +53,23 @@ def log1p(x: DataFrame) -> DataFrame:
     return x.withColumn("value", F.log1p("value"))
 
 
-def gene_moments(logged: DataFrame, n_obs: DataFrame, expm1: bool = True) -> DataFrame:
-    """(col_id, mean, var) of each gene over all cells, zeros included, of the values before log1p."""
+def gene_moments(logged: DataFrame, n_obs: DataFrame, expm1: bool = True, genes: DataFrame | None = None) -> DataFrame:
+    """(col_id, mean, var) of each gene over all cells, zeros included, of the values before log1p.
+
+    With `genes`, those without any entry are there too, with zeros.
+    """
     v = F.expm1("value") if expm1 else F.col("value")
-    sums = logged.groupBy("col_id").agg(F.sum(v).alias("s"), F.sum(v * v).alias("q")).join(F.broadcast(n_obs), F.lit(True))
+    sums = logged.groupBy("col_id").agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    if genes is not None:
+        every = genes.select(F.col("col_id").alias("__g"))
+        sums = every.join(sums, F.col("__g") == F.col("col_id"), "left").select(F.col("__g").alias("col_id"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("q", F.lit(0.0)).alias("q"))
+    sums = sums.join(F.broadcast(n_obs), F.lit(True))
     return sums.select("col_id", (F.col("s") / F.col("n")).alias("mean"), ((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).alias("var"))
 
 
-def variable_stats(logged: DataFrame, n_obs: DataFrame, bins: int = 20) -> DataFrame:
+def variable_stats(logged: DataFrame, n_obs: DataFrame, bins: int = 20, genes: DataFrame | None = None) -> DataFrame:
     """(col_id, mean, dispersion, bin, norm): dispersion against the genes of like mean, in right-closed equal-width bins."""
-    m = gene_moments(logged, n_obs).withColumn("mean", F.when(F.col("mean") == 0, 1e-12).otherwise(F.col("mean")))
+    m = gene_moments(logged, n_obs, genes=genes).withColumn("mean", F.when(F.col("mean") == 0, 1e-12).otherwise(F.col("mean")))
     g = m.select("col_id", F.log1p("mean").alias("mean"), F.when(F.col("var") > 0, F.log(F.col("var") / F.col("mean"))).alias("dispersion"))
     ends = g.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
     b = F.greatest(F.lit(0), F.ceil(F.lit(bins) * (F.col("mean") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))) - 1)

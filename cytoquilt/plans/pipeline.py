@@ -69,7 +69,7 @@ def run(spark: SparkSession, s: Settings, on_step: Callable[[str, float], None]
     qc = preprocess.qc_cells(ann.obs, ann.x)
     logged = ann.normalized()
     done("normalize")
-    top = preprocess.variable_genes(preprocess.variable_stats(logged.x, n), s.n_top_genes).persist()
+    top = preprocess.variable_genes(preprocess.variable_stats(logged.x, n, genes=logged.var), s.n_top_genes).persist()
     n_genes = top.count()
     few = logged.genes(top)
     done("hvg")

@@ -40,7 +40,7 @@ def log1p(spark, d):
 
 
 def _stats(spark, d):
-    return P.variable_stats(P.log1p(P.normalize_total(counts(spark, d))), _n(spark, d))
+    return P.variable_stats(P.log1p(P.normalize_total(counts(spark, d))), _n(spark, d), genes=var(spark, d))
 
 
 def hvg_stats(spark, d):
@@ -65,7 +65,7 @@ _FUNCTIONS = (qc_cells, qc_genes, qc_top_pct, normalize_total, log1p, hvg_stats,
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _NORM = f"{X}, tot as (select r, sum(v) as t from x group by r), med as (select quantile_cont(t, 0.5) as m from tot), e as (select x.r, x.c, v * m / t as v from x join tot on tot.r = x.r cross join med)"
-_HVG = f"""{_NORM}, n as (select count(*) as n from orders), s as (select c, sum(v) / n as mu, (sum(v * v) - sum(v) * sum(v) / n) / (n - 1) as va from e cross join n group by c, n),
+_HVG = f"""{_NORM}, n as (select count(*) as n from orders), s as (select p_partkey as c, coalesce(sum(v), 0) / n as mu, (coalesce(sum(v * v), 0) - coalesce(sum(v), 0) * coalesce(sum(v), 0) / n) / (n - 1) as va from part left join e on c = p_partkey cross join n group by 1, n),
 g as (select c, ln(1 + (case when mu = 0 then 1e-12 else mu end)) as mean, case when va > 0 then ln(va / (case when mu = 0 then 1e-12 else mu end)) end as d from s),
 b as (select g.*, greatest(0, ceil(20 * (mean - lo) / (hi - lo)) - 1)::int as bin from g cross join (select min(mean) as lo, max(mean) as hi from g)),
 p as (select bin as pb, avg(d) as bm, stddev_samp(d) as bs from b group by bin),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Files:
@@ -49,3 +49,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="cytoquilt-")
     return f"{base}/{name}-{os.urandom(6).hex()}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative step through the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
