@@ -29,7 +29,7 @@ NULL_ID = -(1 << 63)
 class Buckets:
     """Documents dealt to buckets, and how many buckets and shards there are."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), shard_bytes: int = 16 << 20, more=()):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), shard_bytes: int = 8 << 20, more=()):
         tune(docs.sparkSession)
         self.parts = parts_for(docs)
         size = scan_bytes(docs)
@@ -82,7 +82,7 @@ class Buckets:
             rows = reply(table.to_pylist())
             return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-        return blocks.repartition(max(12, self.shards // 4), "shard").groupBy("shard").applyInArrow(run, schema)
+        return blocks.repartition(max(12, self.shards // 2), "shard").groupBy("shard").applyInArrow(run, schema)
 
     def meet(self, answers: DataFrame, tell: Callable, schema: StructType, keep: int | None = None) -> DataFrame:
         """tell(table of one bucket, its answers as a list of dicts) -> columns of schema, after the id and carried columns."""
