@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import AnnMatrix
@@ -83,6 +85,10 @@ def read_any(spark: SparkSession, path: str, branch: str = "main") -> AnnMatrix:
         return read_h5ad(spark, path)
     if path.endswith(".h5"):
         return read_10x(spark, path)
+    if os.path.exists(f"{path.removeprefix('file://')}/zarr.json"):
+        from .zarr import read_store
+
+        return read_store(spark, path)
     if Store.exists(spark, path):
         return Store.open(spark, path).load(branch)
     return read_folder(spark, path)
