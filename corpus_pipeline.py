@@ -43,6 +43,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without an id stay; of rows with one id, one stays."""
+    docs = docs.select(*COLUMNS)
     kept = neardup.near_duplicates(docs, num=SIMILARITY[0], den=SIMILARITY[1]).where("kept and doc_id is not null").select(F.col("doc_id").alias("k")).distinct()
     real = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("k"), "left_semi").dropDuplicates(["doc_id"])
     return real.union(docs.where("doc_id is null")).select(*COLUMNS)

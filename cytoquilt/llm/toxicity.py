@@ -234,8 +234,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int], id_co
         ids += [(r.k, label) for r in one.where(F.col("y") == label).orderBy(F.xxhash64("k"), "k").limit(per_class[label]).collect()]
     if not ids:
         return [], []
-    small = F.broadcast(spark.createDataFrame(ids, StructType([field(docs, id_col, "k"), StructField("y", IntegerType())])))
-    rows = docs.join(small, docs[id_col] == small.k).groupBy("k", "y").agg(F.max(docs[text_col]).alias("t")).collect()
+    small = F.broadcast(spark.createDataFrame(ids, StructType([field(labels, id_col, "k"), StructField("y", IntegerType())])))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    rows = texts.join(small, F.col("i") == F.col("k")).groupBy("k", "y").agg(F.max("t").alias("t")).collect()
     rows.sort(key=lambda r: (r.y, str(r.k)))
     return [r.t or "" for r in rows], [r.y for r in rows]
 

@@ -57,7 +57,7 @@ def toxic_rows(n=400, seed=3):
 
 def test_toxicity(spark):
     rows = toxic_rows()
-    docs = spark.createDataFrame([(i, t, "a") for i, t, _ in rows] + [(9000, None, "a"), (9001, "", "a"), (9002, "x " * 60_000 + "villain", "a"), (None, "fine", "a"), (3, rows[3][1], "a")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(i, t, "a") for i, t, _ in rows] + [(9000, None, "a"), (9001, "", "a"), (9002, "x " * 60_000 + "villain", "a"), (None, "fine", "a"), (3, rows[3][1], "a")], "doc_id long, text string, score string").selectExpr("*", "1 as k", "2 as y", "3 as t")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 3] + [(0, None), (None, 1), (5, 0), (5, 0)], "doc_id long, toxic int")
     out = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
     held = [(i, t, y) for i, t, y in rows if i % 3 == 0]
