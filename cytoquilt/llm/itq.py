@@ -3,8 +3,9 @@
 1. From a bounded sample, rotations are learned that make the signs of the rotated, centred
    vectors lose least (iterative quantisation, Gong and Lazebnik 2011); several rotations
    from different starts give a long code.
-2. Every vector is coded. The code is cut into substrings; each is the key of a table, of
-   about as many values as there are vectors. Vectors that share a substring and are near
+2. Every vector is coded. The code is cut into substrings; each is the key of a table. Their
+   width follows the number of vectors, and the number of tables follows the width, so that
+   pairs right at the threshold meet with a set recall at every size. Vectors that share a substring and are near
    in the Hamming distance of the whole codes are candidates; their components are clusters.
 3. Within clusters all pairs are reranked with the original vectors in double precision, in
    pairs of chunks of a bounded size; each pair of chunks meets once. Equal vectors are one
@@ -27,37 +28,99 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from .common import checkpoint, components, parts_for, table, tune
 from .neardup import WIDE, Forest, chain_last, propose
 
-#: Vectors that rotations are learned from at most; steps of each; tables of substrings.
-SAMPLE, STEPS, TABLES = 8192, 25, 32
-#: Bits of one rotation at most, and classes in a chunk.
-ROTATION_BITS, CHUNK = 64, 1024
+#: Vectors that rotations are learned from at most, and steps of each.
+SAMPLE, STEPS = 8192, 25
+#: Bits of one rotation at most, bits of a whole code that are compared, and classes in a chunk.
+ROTATION_BITS, SIG_BITS, CHUNK = 64, 2048, 1024
+#: Share of the pairs right at the threshold that shares a substring; pairs planted to measure it; what the floor on whole codes allows beyond them.
+RECALL, PLANTED, MARGIN = 0.999, 4000, 0.02
+
+
+def planted(x: np.ndarray, cosine: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of exactly this cosine at rows of x: half apart in any direction, half towards other rows."""
+    a = x[rng.integers(0, len(x), PLANTED)]
+    t = np.where(np.arange(PLANTED)[:, None] % 2, rng.normal(size=a.shape), x[rng.integers(0, len(x), PLANTED)] - a)
+    t -= (t * a).sum(axis=1, keepdims=True) * a
+    long = np.linalg.norm(t, axis=1)
+    a, t = a[long > 1e-6], t[long > 1e-6]
+    return a, cosine * a + math.sqrt(1 - cosine * cosine) * t / np.linalg.norm(t, axis=1, keepdims=True)
 
 
 class Coder:
-    """Centre, projection and rotations; codes of TABLES substrings of `width` bits."""
+    """Centre and rotations; codes of `tables` substrings of `width` bits, and the least agreement of whole codes.
+
+    Centring widens angles, most so near the centre, and learned bits are not independent;
+    so nothing is taken from the angle. Width and tables are chosen, and the recall is
+    checked, on pairs planted at the threshold; the width is the one of least cost, in keys
+    and chance meetings of `total` rows. A table of one chunk at most is one group.
+    """
 
-    def __init__(self, x: np.ndarray, width: int, seed: int = 5):
-        self.width, rng = width, np.random.default_rng(seed)
+    def __init__(self, x: np.ndarray, total: int, cosine: float, seed: int = 5):
+        self.width, self.tables, self.floor, self.rotations = 0, 1, -1.0, []
+        rng = np.random.default_rng(seed)
+        x = np.unique(x, axis=0)
         self.mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+        if total <= CHUNK or len(x) < 2:
+            return
+        self._learn(x, 512, rng)
+        a, b = planted(x, cosine, rng)
+        i, j = rng.integers(0, len(x), (2, PLANTED))
+        apart = (x[i] * x[j]).sum(axis=1) < cosine
+        near, far = self._alike(a, b), self._alike(x[i[apart]], x[j[apart]])
+        cost = {0: float(total)}
+        for w in range(4, 31):
+            cost[w] = self._needed(near**w) * (1 + total * float((far**w).mean() if len(far) else 0.0) / 8)  # a meeting costs less than a key
+        self.width = min(cost, key=cost.get)
+        if not self.width:
+            return
+        self.tables = self._needed(near**self.width)
+        while True:
+            self._learn(x, self.tables * self.width, rng)
+            a, b = planted(x, cosine, rng)
+            (ka, sa), (kb, sb) = self.code(a), self.code(b)
+            if (ka == kb).any(axis=1).mean() >= RECALL:
+                break
+            self.tables += -(-self.tables // 8)
+        self.floor = float(agreement(sa, sb).min()) - MARGIN
+
+    def _learn(self, x: np.ndarray, bits: int, rng: np.random.Generator) -> None:
+        """Rotations until there are so many bits, each in a random subspace of its own: every direction counts."""
         d = min(x.shape[1], ROTATION_BITS)
-        centred = x - self.mean
-        _, vectors = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(x.shape[1]))
-        base = vectors[:, ::-1][:, :d]
-        v = centred @ base
-        self.rotations = []
-        for _ in range(math.ceil(TABLES * width / d)):
-            r = np.linalg.qr(rng.normal(size=(d, d)))[0]
+        while len(self.rotations) * d < bits:
+            base = np.linalg.qr(rng.normal(size=(x.shape[1], d)))[0]
+            v, r = (x - self.mean) @ base, np.eye(d)
             for _ in range(STEPS if len(x) > d else 0):
                 u, _, wt = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
                 r = (u @ wt).T
             self.rotations.append(base @ r)
 
+    def _bits(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([(x - self.mean) @ r >= 0 for r in self.rotations], axis=1)
+
+    def _alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self._bits(a) == self._bits(b)).mean(axis=1)
+
+    @staticmethod
+    def _needed(q: np.ndarray) -> int:
+        """Least number of tables in which RECALL of pairs meet that meet with these chances in one."""
+        low, high = 0, 1
+        while high < 1 << 40 and (1 - (1 - q) ** high).mean() < RECALL:
+            low, high = high, 2 * high
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if (1 - (1 - q) ** mid).mean() < RECALL else (low, mid)
+        return high
+
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(table keys int64, packed bits) of every vector; rotations' bits are dealt to tables in turn."""
-        bits = np.concatenate([(x - self.mean) @ r >= 0 for r in self.rotations], axis=1)[:, : TABLES * self.width]
-        sub = bits.reshape(len(x), self.width, TABLES).transpose(0, 2, 1)
-        key = sub @ (1 << np.arange(self.width, dtype=np.int64))
-        return key + (np.arange(TABLES, dtype=np.int64) << 40), np.packbits(bits, axis=1)
+        if not self.width:
+            return np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.uint8)
+        bits = self._bits(x)[:, : self.tables * self.width]
+        sub = bits.reshape(len(x), self.width, self.tables)
+        key = np.zeros((len(x), self.tables), np.int64)
+        for w in range(self.width):
+            key |= sub[:, w].astype(np.int64) << w
+        return key + (np.arange(self.tables, dtype=np.int64) << 40), np.packbits(bits[:, :SIG_BITS], axis=1)
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,12 +128,6 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1.0 - np.bitwise_count(a ^ b).sum(axis=1) / (8 * a.shape[1])
 
 
-def least_agreement(cosine: float) -> float:
-    """Share of equal bits below which a pair at this cosine hardly falls: the angle's share, and a margin."""
-    p = math.acos(cosine) / math.pi
-    return 1 - p - 0.09
-
-
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors in double precision, valid) of a list column; zero, null or non-finite vectors and other lengths are not valid."""
     out, ok = np.zeros((len(column), dim)), np.zeros(len(column), bool)
@@ -156,35 +213,35 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     size = rows.groupBy(F.size("v").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
     total = int(size["count"]) if size else 0
     dim = int(size["d"]) if size else 1
-    width = min(30, max(8, math.ceil(math.log2(max(2, total)))))
     some = rows.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks() if total else pa.array([], pa.list_(pa.float64()))
     some = some.chunk(0) if isinstance(some, pa.ChunkedArray) and some.num_chunks else some
     x, ok = unit_rows(some, dim) if len(some) else (np.zeros((0, dim)), np.zeros(0, bool))
-    shared, mark = spark.sparkContext.broadcast(Coder(x[ok], width)), os.urandom(8).hex()
-    schema = StructType([StructField("id", LongType()), StructField("key", BinaryType()), StructField("tables", ArrayType(LongType())), StructField("code", BinaryType()), StructField("vec", BinaryType())])
+    coder = Coder(x[ok], total, cosine)
+    floor, shared, mark = coder.floor, spark.sparkContext.broadcast(coder), os.urandom(8).hex()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit, valid = unit_rows(batch.column(1), dim)
+            raw = [u.tobytes() if o else None for u, o in zip(unit, valid)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r and xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["id", "key", "vec"])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _HELD:
             _HELD.clear()
             _HELD[mark] = shared.value
         for batch in batches:
-            unit, valid = unit_rows(batch.column(1), dim)
-            tables, packed = _HELD[mark].code(unit)
-            pick = lambda values: [v if o else None for v, o in zip(values, valid)]
-            raw = [u.tobytes() for u in unit]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pick([xxhash.xxh3_128_digest(r) for r in raw]), pa.binary()), pa.array(pick(tables), pa.list_(pa.int64())), pa.array(pick([p.tobytes() for p in packed]), pa.binary()), pa.array(pick(raw), pa.binary())],
-                names=["id", "key", "tables", "code", "vec"],
-            )
-
-    coded = checkpoint(rows.mapInArrow(code, schema))
-    classes = checkpoint(coded.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"), F.first("tables").alias("tables"), F.first("code").alias("sig"), F.first("vec").alias("vec")))
-    banded = classes.select("rep", F.explode("tables").alias("bk"))
+            tables, packed = _HELD[mark].code(np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(batch.num_rows, dim))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(tables), pa.list_(pa.int64())), pa.array([p.tobytes() for p in packed], pa.binary())], names=["rep", "tables", "sig"])
+
+    coded = checkpoint(rows.mapInArrow(keyed, StructType([StructField("id", LongType()), StructField("key", BinaryType()), StructField("vec", BinaryType())])))
+    classes = checkpoint(coded.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"), F.first("vec").alias("vec")))
+    codes = classes.select("rep", "vec").mapInArrow(code, StructType([StructField("rep", LongType()), StructField("tables", ArrayType(LongType())), StructField("sig", BinaryType())]))
+    banded = codes.select("rep", F.explode("tables").alias("bk"))
     shared_keys = banded.groupBy("bk").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1").withColumnRenamed("bk", "bk2")
     members = checkpoint(banded.join(shared_keys, F.col("bk") == F.col("bk2")).select("bk", "rep", "n", "lead"))
-    small = members.where(F.col("n") <= WIDE).join(classes.select(F.col("rep").alias("r2"), "sig"), F.col("rep") == F.col("r2"))
+    small = members.where(F.col("n") <= WIDE).join(codes.select(F.col("rep").alias("r2"), "sig"), F.col("rep") == F.col("r2"))
     wide = members.where((F.col("n") > WIDE) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    clusters = components(propose(small, least_agreement(cosine), parts, agreement).union(wide).distinct())
+    clusters = components(propose(small, floor, parts, agreement).union(wide).distinct())
     sized = clusters.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")).withColumnRenamed("comp", "g")
     placed = clusters.join(sized, F.col("comp") == F.col("g")).select("g", F.col("v").alias("r3"), "chunks", F.pmod(F.xxhash64("v"), F.col("chunks")).alias("part"))
     met = placed.join(classes.select("rep", "k", "vec"), F.col("r3") == F.col("rep")).select("g", "part", "rep", "k", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))

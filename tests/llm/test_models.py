@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cytoquilt.llm import itq, labeller, neardup, toxicity
 
@@ -131,6 +132,31 @@ def test_vectors_equal_brute_force(spark, monkeypatch, small):
     assert itq.near_vectors(df.where("false")).count() == 0
 
 
+def around(n, shift, seed, d=64):
+    """Unit vectors whose mean cosine is about shift^2 / (1 + shift^2), and one at cosine 0.9501 to each."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)) + shift
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = rng.normal(size=x.shape)
+    t -= (t * x).sum(axis=1, keepdims=True) * x
+    return x, 0.9501 * x + np.sqrt(1 - 0.9501**2) * t / np.linalg.norm(t, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("shift,total", [(0, 130_000), (1, 1_000_000), (2, 130_000), (0, 8_000_000)])
+def test_recall_does_not_fall_with_size_or_a_common_mean(shift, total):
+    coder = itq.Coder(around(8192, shift, 1)[0], total, 0.95)
+    (ka, sa), (kb, sb) = map(coder.code, around(4000, shift, 2))
+    assert coder.width and ((ka == kb).any(axis=1) & (itq.agreement(sa, sb) >= coder.floor)).mean() >= 0.997
+
+
+def test_vectors_of_an_uncentred_table_equal_brute_force(spark):
+    x = np.concatenate(around(2500, 2.0, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = (x @ x.T >= 0.95).sum() - len(x)
+    got = itq.near_vectors(df).agg(F.sum("n_links")).first()[0]
+    assert 0.997 * want <= got <= want
+
+
 def brute_near(rows, num=85, den=100):
     sets = {}
     for n, (i, t) in enumerate(rows):
