@@ -39,13 +39,11 @@ class Settings:
 
 
 def neighbours(points: DataFrame, s: Settings) -> DataFrame:
-    n = points.count()
     if s.neighbors_algorithm == "brute":
         return embed.knn_brute(points, points, s.n_neighbors)
     if s.neighbors_algorithm not in ("ivfflat", "ivfpq", "mg_ivfflat", "mg_ivfpq"):
         raise ValueError(f"unknown neighbours algorithm {s.neighbors_algorithm}")
-    lists = max(1, min(4096, int(n**0.5)))
-    return embed.knn_ivf(points, points, s.n_neighbors, lists, max(1, min(lists, 20)), seed=s.random_seed)
+    return embed.knn_ivf(points, points, s.n_neighbors, 0, 0, seed=s.random_seed)
 
 
 def run(spark: SparkSession, s: Settings, on_step: Callable[[str, float], None] | None = None) -> dict:
