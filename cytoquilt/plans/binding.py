@@ -23,3 +23,9 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def var(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("col_id"), F.col("p_name").alias("var_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"))
+
+
+def extent(axis: DataFrame, key: str) -> int:
+    """One more than the largest id of an axis: ids are places from 0."""
+    last = axis.agg(F.max(key)).first()[0]
+    return 0 if last is None else int(last) + 1

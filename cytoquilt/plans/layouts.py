@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.shapes import shard_side
 from ..operators import layout as L
 from ..operators.positions import joined, positions, running_total
-from .binding import X, counts, obs, var
+from .binding import X, counts, extent, obs, var
 
 DENSE = 200
 TILE = (64, 64)
@@ -53,22 +53,47 @@ def result_nnz(spark, d):
 
 
 def _corner(spark, d):
-    """The first cells and genes by id (ids start at 0)."""
+    """The first cells and genes by id (ids start at 0): what the DuckDB twins of densify, to_dense and to_csr cover."""
     return counts(spark, d).where((F.col("row_id") < DENSE) & (F.col("col_id") < DENSE))
 
 
+def _densify(x, n_rows: int, n_cols: int):
+    return L.tiles(x, n_rows, n_cols, *TILE).select("row_block", "col_block", "n_rows", "n_cols", "nnz", _ints("values").alias("values"))
+
+
+def _to_dense(x, n_cols: int):
+    return L.dense_rows(L.compressed(x), n_cols).select("row_id", _ints("values").alias("values"))
+
+
+def _to_csr(x, n_cols: int):
+    again = L.compressed(L.from_dense(L.dense_rows(L.compressed(x), n_cols)))
+    return again.select("row_id", _ints("indices").alias("indices"), _ints("data").alias("data"))
+
+
 def densify(spark, d):
-    t = L.tiles(_corner(spark, d), DENSE, DENSE, *TILE)
-    return t.select("row_block", "col_block", "n_rows", "n_cols", "nnz", _ints("values").alias("values"))
+    return _densify(_corner(spark, d), DENSE, DENSE)
 
 
 def to_dense(spark, d):
-    return L.dense_rows(L.compressed(_corner(spark, d)), DENSE).select("row_id", _ints("values").alias("values"))
+    return _to_dense(_corner(spark, d), DENSE)
 
 
 def to_csr(spark, d):
-    again = L.compressed(L.from_dense(L.dense_rows(L.compressed(_corner(spark, d)), DENSE)))
-    return again.select("row_id", _ints("indices").alias("indices"), _ints("data").alias("data"))
+    return _to_csr(_corner(spark, d), DENSE)
+
+
+def densify_whole(spark, d):
+    return _densify(counts(spark, d), extent(obs(spark, d), "row_id"), extent(var(spark, d), "col_id"))
+
+
+def to_dense_whole(spark, d):
+    """Cells without entries are rows of zeros."""
+    packed = obs(spark, d).select("row_id").join(L.compressed(counts(spark, d)).withColumnRenamed("row_id", "r"), F.col("row_id") == F.col("r"), "left")
+    return L.dense_rows(packed, extent(var(spark, d), "col_id")).select("row_id", _ints("values").alias("values"))
+
+
+def to_csr_whole(spark, d):
+    return _to_csr(counts(spark, d), extent(var(spark, d), "col_id"))
 
 
 def csc_to_csr(spark, d):
@@ -97,7 +122,7 @@ def inspect(spark, d):
     return both.select(F.lit("csr").alias("format"), "n_obs", "n_vars", "nnz", F.lit("double").alias("dtype"), F.round(F.col("nnz") / (F.col("n_obs") * F.col("n_vars")), 9).alias("density"))
 
 
-QUERIES = {f.__name__: f for f in (csr_rows, csc_cols, csr_flat, indptr, row_nnz, result_nnz, densify, to_dense, to_csr, csc_to_csr, canon_csr, tile_counts, shard_shapes, inspect)}
+QUERIES = {f.__name__: f for f in (csr_rows, csc_cols, csr_flat, indptr, row_nnz, result_nnz, densify, to_dense, to_csr, densify_whole, to_dense_whole, to_csr_whole, csc_to_csr, canon_csr, tile_counts, shard_shapes, inspect)}
 
 _LISTS = "string_agg(c::bigint::varchar, ',' order by c) as indices, string_agg(v::bigint::varchar, ',' order by c) as data"
 _CORNER = f"{X}, k as (select r, c, v from x where r < {DENSE} and c < {DENSE})"

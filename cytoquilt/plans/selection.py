@@ -8,7 +8,7 @@ from ..functions.shapes import slug
 from ..operators import select as S
 from ..operators.positions import positions, runs
 from ..session import table
-from .binding import X, counts, obs, var
+from .binding import X, counts, extent, obs, var
 
 TYPE = "1-URGENT"
 SEED, COUNT = 7, 500
@@ -32,6 +32,15 @@ def select_cols_rand(spark, d):
     return S.by_ids(counts(spark, d), "col_id", S.random_ids(200, 50, SEED))
 
 
+def select_rows_rand_whole(spark, d):
+    """As select_rows_rand, whose twin has the ids in its text, drawn from all rows."""
+    return S.by_ids(counts(spark, d), "row_id", S.random_ids(extent(obs(spark, d), "row_id"), COUNT, SEED))
+
+
+def select_cols_rand_whole(spark, d):
+    return S.by_ids(counts(spark, d), "col_id", S.random_ids(extent(var(spark, d), "col_id"), 50, SEED))
+
+
 def select_celltype(spark, d):
     return S.by_frame(counts(spark, d), "row_id", S.matching(obs(spark, d), cell_type=TYPE), "row_id")
 
@@ -120,7 +129,7 @@ def selection_export(spark, d):
     return p.select("vec_id", F.to_json(F.struct(F.col("vec_id").alias("index"), F.concat(F.lit("cell-"), "vec_id").alias("barcode"))).alias("json"), F.round("x", 4).alias("x4"), F.round("y", 4).alias("y4"))
 
 
-_FUNCTIONS = (select_rows_seq, select_cols_seq, select_rows_rand, select_cols_rand, select_celltype, select_celltype_means, celltype_values, obs_column, span_runs, span_stats, read_spans, subset_rows, subset_multikey, selection_rows, selection_missing, subset_view, subset_slug, lasso_select, selection_export)
+_FUNCTIONS = (select_rows_seq, select_cols_seq, select_rows_rand, select_cols_rand, select_rows_rand_whole, select_cols_rand_whole, select_celltype, select_celltype_means, celltype_values, obs_column, span_runs, span_stats, read_spans, subset_rows, subset_multikey, selection_rows, selection_missing, subset_view, subset_slug, lasso_select, selection_export)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _XR = "r as row_id, c as col_id, v as value from x"
