@@ -88,7 +88,7 @@ def run(spark: SparkSession, s: Settings, on_step: Callable[[str, float], None]
     done("neighbors")
     xy = embed.umap(graph, s.umap_min_dist, seed=s.random_seed)
     done("umap")
-    labels = embed.leiden(graph, s.leiden_resolution, min(s.leiden_iterations, 20), s.random_seed)
+    labels = embed.leiden(graph, s.leiden_resolution, s.leiden_iterations, s.random_seed)
     done("leiden")
     if s.write_results and s.subset_column:
         name = s.subset_dir_name or slug_name(f"{s.subset_column}_{s.subset_value}")
