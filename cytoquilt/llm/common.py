@@ -29,6 +29,14 @@ def field(df: DataFrame, name: str, to: str | None = None) -> StructField:
     return StructField(to or name, df.schema[name].dataType, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: A plan's size when the optimizer does not know it (rows of an RDD): so much for each partition.
 UNKNOWN_EACH = 16 << 20
 

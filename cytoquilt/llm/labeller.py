@@ -17,7 +17,10 @@ import math
 import os
 import random
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import field, table, tune
+from .common import field, free_name, table, tune
 
 # Fixed values of HTML: elements without content, of block level, with raw text, and never shown as text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,17 +37,26 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 HIDDEN = frozenset("head script style title textarea iframe noembed noframes noscript template svg math canvas audio video object select datalist xmp".split())
 CLOSES = {
-    "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
+    "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 SCOPES = frozenset("ul ol dl table article section div nav aside footer header main form body blockquote td th".split())
+CELLS = frozenset("tr td th thead tbody tfoot".split())
+#: Elements that a start tag may end, or that bound which ones it ends: between two scopes at most one of each name is open.
+MARKS = SCOPES.union(*CLOSES.values())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+# the end of a tag, or a quoted value, in which a `>` does not end it
+TAG_STEP = re.compile(r">|=[ \t\n\r\f]*([\"'])")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PIECE = re.compile(r"[a-z]+")
+# numeric references of any length: leading zeros mean nothing, and no character has nine digits
+ZEROS, TOO_LONG = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
 
 PATH_DIM, LAST_DIM, WORD_DIM, SHAPE_DIM = 96, 24, 48, 10
 IN_DIM = PATH_DIM + LAST_DIM + WORD_DIM + SHAPE_DIM
 HIDDEN_DIM = 20
+#: Blocks whose vectors are held at once.
+PART = 4096
 
 
 class Slot(dict):
@@ -65,52 +77,141 @@ class Slot(dict):
 PATH_SLOT, LAST_SLOT, WORD_SLOT = Slot(PATH_DIM, 1), Slot(LAST_DIM, 2), Slot(WORD_DIM, 3)
 
 
-def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path names, text, characters inside links) of every leaf block with text, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # tag, names that it adds to the path
+class Leaf(NamedTuple):
+    path: bytes  # sums of the signs of the open elements' names, by slot
+    last: str  # the innermost open block element
+    text: str
+    linked: int  # characters inside links
+
+
+def unescape(text: str) -> str:
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = TOO_LONG.sub("\ufffd", ZEROS.sub(r"&#\1", text))
+    return html.unescape(text)
+
+
+class _Tree:
+    """The open elements of a page. Every element is pushed and popped once, whatever is never closed."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, list[int]]] = []  # tag, slots that it adds to the path
+        self.open: Counter[str] = Counter()
+        self.blocks: list[str] = [""]
+        self.marks: list[int] = []  # places in the stack of the elements in MARKS
+        self.path = array("f", bytes(4 * PATH_DIM))
+        self.hidden = 0
+
+    def push(self, name: str, names: tuple[str, ...]) -> None:
+        slots = [PATH_SLOT[n] for n in names]
+        for s in slots:
+            self.path[s >> 1] += -1.0 if s & 1 else 1.0
+        if name in MARKS:
+            self.marks.append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(name)
+        self.stack.append((name, slots))
+        self.open[name] += 1
+        self.hidden += name in HIDDEN
+
+    def pop(self) -> str:
+        name, slots = self.stack.pop()
+        for s in slots:
+            self.path[s >> 1] -= -1.0 if s & 1 else 1.0
+        if name in MARKS:
+            self.marks.pop()
+        if name in BLOCK:
+            self.blocks.pop()
+        self.open[name] -= 1
+        self.hidden -= name in HIDDEN
+        return name
+
+    def make_room(self, name: str) -> None:
+        """End what a start tag of a block ends without saying so: its like, or an open paragraph."""
+        shut = CLOSES.get(name) or (set() if name in ("li", "dd", "dt") else {"p"})
+        k = len(self.marks) - 1
+        while k >= 0:
+            held = self.stack[self.marks[k]][0]
+            if held in shut:
+                to = self.marks[k]
+                while len(self.stack) > to:
+                    self.pop()
+            elif held in SCOPES and not (held in ("td", "th") and name in CELLS):
+                return
+            k -= 1
+
+
+def leaves(page: str) -> list[Leaf]:
+    """Every leaf block with text, in page order, in one pass: each character is looked at a bounded number of times."""
+    out: list[Leaf] = []
+    tree, paths = _Tree(), {}
     parts: list[str] = []
-    linked = hidden = anchors = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((tuple(n for _, names in stack for n in names), text, linked))
+                raw = tree.path.tobytes()
+                out.append(Leaf(paths.setdefault(raw, raw), tree.blocks[-1], text, linked))
             parts, linked = [], 0
 
-    def pop() -> None:
-        nonlocal hidden, anchors
-        name, _ = stack.pop()
-        hidden -= name in HIDDEN
-        anchors -= name == "a"
-
-    at, size = 0, len(page)
-    while at < size:
-        m = TAG.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text and not hidden:
-            text = html.unescape(text)
+    def say(text: str) -> None:
+        nonlocal linked
+        if text and not tree.hidden:
+            text = unescape(text)
             parts.append(text)
-            if anchors:
+            if tree.open["a"]:
                 linked += len(text)
-        if not m:
+
+    at, from_, size, last_end, quotes = 0, 0, len(page), page.rfind(">"), True
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last_end and not page.startswith("<!--", at):  # no tag can end any more
+            say(page[from_:])
             break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        if page.startswith("<!--", at):
+            say(page[from_:at])
+            end = page.find("-->", at + 4)
+            if end < 0:
+                break
+            at = from_ = end + 3
+            continue
+        closing = page.startswith("/", at + 1)
+        m = NAME.match(page, at + 1 + closing)
+        if not m:
+            if closing or page[at + 1 : at + 2] in ("!", "?"):
+                say(page[from_:at])
+                at = from_ = page.find(">", at) + 1
+            else:
+                at += 1  # a bare `<` is text
             continue
-        if m[1] or m[4]:
-            if any(n == name for n, _ in stack):
+        end = m.end()
+        while quotes:
+            step = TAG_STEP.search(page, end)
+            if step is None:
+                quotes = False  # a value that never ends: from here on a tag ends at the next `>`, and no quote is looked for again
+            elif step[1] is None:
+                end = step.end()
+                break
+            else:
+                shut = page.find(step[1], step.end())
+                quotes, end = shut >= 0, shut + 1
+        else:
+            end = page.find(">", m.end()) + 1
+        say(page[from_:at])
+        at = from_ = end
+        name, attrs = m[0].lower(), page[m.end() : end - 1]
+        if closing:
+            if tree.open[name] > 0:
                 if name in BLOCK:
                     flush()
                 while True:
-                    last = stack[-1][0]
-                    if last in BLOCK:
+                    if tree.stack[-1][0] in BLOCK:
                         flush()
-                    pop()
-                    if last == name:
+                    if tree.pop() == name:
                         break
             elif name in BLOCK:
                 flush()
@@ -119,55 +220,43 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             parts.append(" ")
         if name in BLOCK:
             flush()
-            if (shut := CLOSES.get(name)) or name in BLOCK and name not in ("li", "dd", "dt"):
-                shut = shut or {"p"}  # a block ends an open paragraph
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in shut:
-                        while len(stack) > i:
-                            pop()
-                    elif stack[i][0] in SCOPES and not (stack[i][0] in ("td", "th") and name in ("tr", "td", "th", "tbody", "tfoot")):
-                        break
+            tree.make_room(name)
         if name in VOID:
             continue
-        attrs = m[3] if m[2] else m[6]
         names = (name,)
-        if attrs and "=" in attrs:
-            found = [w for a in NAMES.findall(attrs) for w in PIECE.findall((a[0] or a[1] or a[2]).lower())]
-            names += tuple("." + w for w in found)
+        if "=" in attrs:
+            names += tuple("." + w for a in NAMES.findall(attrs) for w in PIECE.findall((a[0] or a[1] or a[2]).lower()))
         if attrs.endswith("/") and name in ("svg", "math", "path"):
             continue
-        stack.append((name, names))
-        hidden += name in HIDDEN
-        anchors += name == "a"
+        tree.push(name, names)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
-            at = end.start() if end else size
+            at = from_ = end.start() if end else size
     flush()
     return out
 
 
-def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """One row for each block of a page."""
+def vectors(blocks: list[Leaf], start: int = 0, total: int | None = None) -> np.ndarray:
+    """One row for each block of a page, or of a part of it from block `start` on."""
     n = len(blocks)
     x = np.zeros((n, IN_DIM), np.float32)
-    for i, (path, text, linked) in enumerate(blocks):
-        for name in path:
-            s = PATH_SLOT[name]
-            x[i, s >> 1] += -1.0 if s & 1 else 1.0
-        last = next((p for p in reversed(path) if p in BLOCK), "")
+    total = n if total is None else total
+    if n:
+        x[:, :PATH_DIM] = np.frombuffer(b"".join(b.path for b in blocks), np.float32).reshape(n, PATH_DIM)
+    for i, (_, last, text, linked) in enumerate(blocks):
         s = LAST_SLOT[last]
         x[i, PATH_DIM + (s >> 1)] = -1.0 if s & 1 else 1.0
         words = text.lower().split(" ")
         slots = np.fromiter(map(WORD_SLOT.__getitem__, words), np.int64, len(words))
         x[i, PATH_DIM + LAST_DIM : PATH_DIM + LAST_DIM + WORD_DIM] = np.bincount(slots >> 1, weights=1.0 - 2.0 * (slots & 1), minlength=WORD_DIM) / math.sqrt(len(words))
         k, o = len(text), PATH_DIM + LAST_DIM + WORD_DIM
-        x[i, o : o + SHAPE_DIM] = (math.log1p(k) / 6, math.log1p(len(words)) / 5, min(1.0, linked / k), text[-1] in ".!?:;»”\"'", text[:1].isupper(), (i + 1) / n, min(1.0, n / 50), text.count(",") / (1 + len(words)), sum(map(text.count, "0123456789")) / k, text.startswith(("©", "(c)", "Copyright")))
+        x[i, o : o + SHAPE_DIM] = (math.log1p(k) / 6, math.log1p(len(words)) / 5, min(1.0, linked / k), text[-1] in ".!?:;»”\"'", text[:1].isupper(), (start + i + 1) / total, min(1.0, total / 50), text.count(",") / (1 + len(words)), sum(map(text.count, "0123456789")) / k, text.startswith(("©", "(c)", "Copyright")))
     np.clip(x, -3, 3, out=x)
     return x
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class BiLSTM:
@@ -180,15 +269,16 @@ class BiLSTM:
             self.p["x" + d], self.p["h" + d] = rng.normal(0, 0.12, (IN_DIM, 4 * h)), rng.normal(0, 0.15, (h, 4 * h))
             self.p["c" + d] = np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)])
 
-    def _pass(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None):
-        """States (time, batch, hidden) of one direction."""
+    def _pass(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None, hid: np.ndarray | None = None, cell: np.ndarray | None = None):
+        """States (time, batch, hidden) of one direction, and the last hidden and cell state; starts from those given."""
         h, n, t = HIDDEN_DIM, x.shape[1], x.shape[0]
         z = x @ self.p["x" + d] + self.p["c" + d]
-        hid, cell = np.zeros((n, h)), np.zeros((n, h))
+        hid, cell = (np.zeros((n, h)), np.zeros((n, h))) if hid is None else (hid, cell)
         out = np.zeros((t, n, h))
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             a = z[k] + hid @ self.p["h" + d]
-            i, f, o, g = sigmoid(a[:, :h]), sigmoid(a[:, h : 2 * h]), sigmoid(a[:, 2 * h : 3 * h]), np.tanh(a[:, 3 * h :])
+            gates, g = sigmoid(a[:, : 3 * h]), np.tanh(a[:, 3 * h :])
+            i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
             m = mask[k][:, None]
             new = f * cell + i * g
             th = np.tanh(new)
@@ -196,19 +286,19 @@ class BiLSTM:
                 keep.append((k, hid, cell, i, f, o, g, th, m))
             cell, hid = np.where(m, new, 0.0), np.where(m, o * th, 0.0)
             out[k] = hid
-        return out
+        return out, hid, cell
 
     def forward(self, x: np.ndarray, mask: np.ndarray, tape: dict | None = None) -> np.ndarray:
         x = x.astype(np.float64)
         kf, kb = ([], []) if tape is not None else (None, None)
-        both = np.concatenate([self._pass("f", x, mask, kf), self._pass("b", x, mask, kb)], axis=2)
+        both = np.concatenate([self._pass("f", x, mask, kf)[0], self._pass("b", x, mask, kb)[0]], axis=2)
         p = sigmoid((both @ self.p["out"])[:, :, 0] + self.p["bias"])
         if tape is not None:
             tape |= {"x": x, "both": both, "f": kf, "b": kb}
         return p
 
-    def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, state: dict, rate: float) -> float:
-        """One Adam step on a batch; returns the mean loss."""
+    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """(gradient of every parameter, mean loss) of a batch."""
         tape: dict = {}
         p, h = self.forward(x, mask, tape), HIDDEN_DIM
         total = mask.sum()
@@ -227,6 +317,12 @@ class BiLSTM:
                 gh += hid.T @ a
                 dh, dc = a @ self.p["h" + way].T, dc * f
             g["x" + way], g["h" + way], g["c" + way] = np.einsum("tni,tnj->ij", tape["x"], dz), gh, dz.sum(axis=(0, 1))
+        q = np.clip(np.where(y > 0.5, p, 1 - p), 1e-9, 1)
+        return g, float(-(np.log(q) * mask).sum() / total)
+
+    def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, state: dict, rate: float) -> float:
+        """One Adam step on a batch; returns the mean loss."""
+        g, loss = self.gradients(x, mask, y)
         norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
         state["t"] = t = state.get("t", 0) + 1
         for k, v in g.items():
@@ -234,24 +330,40 @@ class BiLSTM:
             m1 = state[k, 1] = 0.9 * state.get((k, 1), 0.0) + 0.1 * v
             m2 = state[k, 2] = 0.99 * state.get((k, 2), 0.0) + 0.01 * v * v
             self.p[k] -= rate * (m1 / (1 - 0.9**t) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8) + (1e-3 * self.p[k] if k[0] == "x" else 0.0))
-        q = np.clip(np.where(y > 0.5, p, 1 - p), 1e-9, 1)
-        return float(-(np.log(q) * mask).sum() / total)
+        return loss
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def label(self, pages: list[list[Leaf]]) -> list[np.ndarray]:
         """P(article) of every block of every page. Pages of like length go together; a page is never cut."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order, at = sorted((i for i, x in enumerate(pages) if len(x)), key=lambda i: len(pages[i])), 0
         while at < len(order):
+            if len(pages[order[at]]) > PART:
+                out[order[at]] = self.label_long(pages[order[at]])
+                at += 1
+                continue
             some = [order[at]]
-            while at + len(some) < len(order) and (len(some) + 1) * len(pages[order[at + len(some)]]) <= 4096:
+            while at + len(some) < len(order) and (len(some) + 1) * len(pages[order[at + len(some)]]) <= PART:
                 some.append(order[at + len(some)])
             at += len(some)
-            x, mask = padded([pages[i] for i in some])
+            x, mask = padded([vectors(pages[i]) for i in some])
             p = self.forward(x, mask)
             for k, i in enumerate(some):
                 out[i] = p[: len(pages[i]), k]
         return out
 
+    def label_long(self, page: list[Leaf]) -> np.ndarray:
+        """The same for one page of any length: vectors are made for PART blocks at a time, states go on from part to part."""
+        n, h = len(page), HIDDEN_DIM
+        score = np.full(n, float(self.p["bias"][0]))
+        for way, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+            hid, cell = np.zeros((1, h)), np.zeros((1, h))
+            cuts = range(0, n, PART)
+            for a in cuts if way == "f" else reversed(cuts):
+                x = vectors(page[a : a + PART], a, n)[:, None].astype(np.float64)
+                states, hid, cell = self._pass(way, x, np.ones((len(x), 1), bool), None, hid, cell)
+                score[a : a + PART] += states[:, 0] @ self.p["out"][part, 0]
+        return sigmoid(score)
+
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     t = max(map(len, pages))
@@ -346,8 +458,8 @@ def make_page(rng: random.Random) -> str:
 
 def labelled(page: str) -> tuple[np.ndarray, np.ndarray]:
     blocks = leaves(page)
-    y = np.array(["\1" in t for _, t, _ in blocks], float)
-    return vectors([(p, " ".join(t.replace("\1", "").replace("\2", "").split()) or "x", n) for p, t, n in blocks]), y
+    y = np.array(["\1" in b.text for b in blocks], float)
+    return vectors([b._replace(text=" ".join(b.text.replace("\1", "").replace("\2", "").split()) or "x") for b in blocks]), y
 
 
 _MODEL: dict[tuple[int, int, int], BiLSTM] = {}
@@ -380,8 +492,9 @@ _HELD: dict[str, BiLSTM] = {}
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",), level: float = 0.5, with_blocks: bool = False, model: BiLSTM | None = None) -> DataFrame:
     """The operator: (id, carry columns, text, n_chars[, blocks array<struct<text, p>>]) of every page.
 
-    A null html is empty and gives an empty text; repeated rows each give a row. Pages are
-    read whole where they are, without a shuffle.
+    A null html is empty and gives an empty text; repeated rows each give a row. A tag that
+    does not end is text; a comment, script or style that does not end goes on to the end of
+    the page. Pages are read whole where they are, without a shuffle, in one pass.
     """
     spark = tune(pages.sparkSession)
     shared, key = spark.sparkContext.broadcast(model or train()), os.urandom(8).hex()
@@ -398,14 +511,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", c
         labeller = _HELD[key]
         for batch in batches:
             found = [leaves((x.as_py() or b"").decode("utf-8", "replace")) for x in batch.column(len(keep))]
-            probs = labeller.label([vectors(f) for f in found])
-            texts = ["\n".join(t for (_, t, _), q in zip(f, p) if q >= level) for f, p in zip(found, probs)]
+            probs = labeller.label(found)
+            texts = ["\n".join(b.text for b, q in zip(f, p) if q >= level) for f, p in zip(found, probs)]
             cols = [batch.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             if with_blocks:
-                cols.append(pa.array([[{"text": t, "p": float(q)} for (_, t, _), q in zip(f, p)] for f, p in zip(found, probs)], kind))
+                cols.append(pa.array([[{"text": b.text, "p": float(q)} for b, q in zip(f, p)] for f, p in zip(found, probs)], kind))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    return pages.select(*keep, F.col(html_col).cast("binary").alias("__html")).mapInArrow(run, StructType(schema))
+    return pages.select(*keep, F.col(html_col).cast("binary").alias(free_name(pages, "html"))).mapInArrow(run, StructType(schema))
 
 
 def op4_html_extract(spark, sf_dir: str) -> DataFrame:
