@@ -5,11 +5,15 @@
    from different starts give a long code.
 2. Every vector is coded. The code is cut into substrings; each is the key of a table. Their
    width follows the number of vectors, and the number of tables follows the width, so that
-   pairs right at the threshold meet with a set recall at every size. Vectors that share a substring and are near
-   in the Hamming distance of the whole codes are candidates; their components are clusters.
-3. Within clusters all pairs are reranked with the original vectors in double precision, in
+   pairs right at the threshold meet with a set recall at every size. More tables are cheaper
+   here than a search for near substrings: a table adds one row to a vector, a flipped bit too.
+3. Vectors that share a substring are compared by the original vectors in one byte a
+   component, with the bound of what rounding can hide: no pair at the threshold fails, and
+   few below it pass. Components of these links are clusters.
+4. Within clusters all pairs are reranked with the original vectors in double precision, in
    pairs of chunks of a bounded size; each pair of chunks meets once. Equal vectors are one
    class with a count all the way.
+Vectors of each length are a table of their own.
 """
 
 from __future__ import annotations
@@ -20,20 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from .common import checkpoint, components, parts_for, table, tune
 from .neardup import WIDE, Forest, chain_last, propose
 
 #: Vectors that rotations are learned from at most, and steps of each.
 SAMPLE, STEPS = 8192, 25
-#: Bits of one rotation at most, bits of a whole code that are compared, and classes in a chunk.
-ROTATION_BITS, SIG_BITS, CHUNK = 64, 2048, 1024
-#: Share of the pairs right at the threshold that shares a substring; pairs planted to measure it; what the floor on whole codes allows beyond them.
-RECALL, PLANTED, MARGIN = 0.999, 4000, 0.02
+#: Bits of one rotation at most, and classes in a chunk.
+ROTATION_BITS, CHUNK = 64, 1024
+#: Share of the pairs right at the threshold that shares a substring; pairs planted to measure it.
+RECALL, PLANTED = 0.999, 4000
 
 
 def planted(x: np.ndarray, cosine: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -47,20 +52,20 @@ def planted(x: np.ndarray, cosine: float, rng: np.random.Generator) -> tuple[np.
 
 
 class Coder:
-    """Centre and rotations; codes of `tables` substrings of `width` bits, and the least agreement of whole codes.
+    """Centre and rotations; codes of `tables` substrings of `width` bits.
 
     Centring widens angles, most so near the centre, and learned bits are not independent;
     so nothing is taken from the angle. Width and tables are chosen, and the recall is
     checked, on pairs planted at the threshold; the width is the one of least cost, in keys
-    and chance meetings of `total` rows. A table of one chunk at most is one group.
+    and chance meetings of `total` rows.
     """
 
     def __init__(self, x: np.ndarray, total: int, cosine: float, seed: int = 5):
-        self.width, self.tables, self.floor, self.rotations = 0, 1, -1.0, []
+        self.width, self.tables, self.rotations = 0, 1, []
         rng = np.random.default_rng(seed)
         x = np.unique(x, axis=0)
         self.mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
-        if total <= CHUNK or len(x) < 2:
+        if len(x) < 2:
             return
         self._learn(x, 512, rng)
         a, b = planted(x, cosine, rng)
@@ -77,11 +82,9 @@ class Coder:
         while True:
             self._learn(x, self.tables * self.width, rng)
             a, b = planted(x, cosine, rng)
-            (ka, sa), (kb, sb) = self.code(a), self.code(b)
-            if (ka == kb).any(axis=1).mean() >= RECALL:
+            if (self.code(a) == self.code(b)).any(axis=1).mean() >= RECALL:
                 break
             self.tables += -(-self.tables // 8)
-        self.floor = float(agreement(sa, sb).min()) - MARGIN
 
     def _learn(self, x: np.ndarray, bits: int, rng: np.random.Generator) -> None:
         """Rotations until there are so many bits, each in a random subspace of its own: every direction counts."""
@@ -111,21 +114,36 @@ class Coder:
             low, high = (mid, high) if (1 - (1 - q) ** mid).mean() < RECALL else (low, mid)
         return high
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(table keys int64, packed bits) of every vector; rotations' bits are dealt to tables in turn."""
+    def code(self, x: np.ndarray) -> np.ndarray:
+        """Table keys (int64) of every vector; rotations' bits are dealt to tables in turn."""
         if not self.width:
-            return np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.uint8)
-        bits = self._bits(x)[:, : self.tables * self.width]
-        sub = bits.reshape(len(x), self.width, self.tables)
+            return np.zeros((len(x), 1), np.int64)
+        sub = self._bits(x)[:, : self.tables * self.width].reshape(len(x), self.width, self.tables)
         key = np.zeros((len(x), self.tables), np.int64)
         for w in range(self.width):
             key |= sub[:, w].astype(np.int64) << w
-        return key + (np.arange(self.tables, dtype=np.int64) << 40), np.packbits(bits[:, :SIG_BITS], axis=1)
+        return key + (np.arange(self.tables, dtype=np.int64) << 40)
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal bits of packed codes."""
-    return 1.0 - np.bitwise_count(a ^ b).sum(axis=1) / (8 * a.shape[1])
+def in_bytes(x: np.ndarray) -> list[bytes]:
+    """Unit vectors as one byte a component, their scale, and the length of what rounding leaves out."""
+    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300) / 127
+    q = np.rint(x / scale).astype(np.int8)
+    rest = np.sqrt(((x - q * scale) ** 2).sum(axis=1, keepdims=True))
+    tail = np.concatenate([scale, rest], axis=1).astype("<f4").view(np.uint8)
+    return [r.tobytes() for r in np.concatenate([q.view(np.uint8), tail], axis=1)]
+
+
+def from_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rounded vectors, length of what is left out) from rows of bytes."""
+    tail = np.ascontiguousarray(raw[..., -8:]).view("<f4")
+    return np.ascontiguousarray(raw[..., :-8]).view(np.int8) * tail[..., :1], tail[..., 1]
+
+
+def most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What the cosine of the vectors in two rows of bytes can be at most."""
+    (x, r), (y, s) = from_bytes(a), from_bytes(b)
+    return (x * y).sum(axis=1) + r + s + 1e-5
 
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,39 +165,66 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(ok[:, None], out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300), 0.0), ok
 
 
+def units_of(column: pa.Array) -> list[bytes | None]:
+    """Unit vectors of a list column as bytes, each length by itself; None for what links with nothing."""
+    out: list[bytes | None] = [None] * len(column)
+    size = np.array([0 if v is None else v for v in pc.list_value_length(column).to_pylist()], dtype=np.int64)
+    for dim in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == dim)
+        unit, ok = unit_rows(column.take(pa.array(at)), dim)
+        for i, u, o in zip(at.tolist(), unit, ok):
+            if o:
+                out[i] = u.tobytes()
+    return out
+
+
 LINKS = StructType([StructField("rep", LongType()), StructField("n", LongType()), StructField("root", LongType())])
 
 
-def rerank(rows: DataFrame, cosine: float, parts: int) -> DataFrame:
+class Exact:
+    """Vectors in double precision."""
+
+    def __init__(self, raws: list[bytes]):
+        self.x = np.frombuffer(b"".join(raws)).reshape(len(raws), -1)
+
+    def near(self, a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+        return self.x[a] @ self.x[b].T >= cosine
+
+
+class Rounded:
+    """Vectors in bytes: near is what may be near."""
+
+    def __init__(self, raws: list[bytes]):
+        self.x, self.rest = from_bytes(np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1))
+
+    def near(self, a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+        return self.x[a] @ self.x[b].T + self.rest[a][:, None] + self.rest[b] + 1e-5 >= cosine
+
+
+def rerank(rows: DataFrame, cosine: float, parts: int, kind: type = Exact) -> DataFrame:
     """LINKS of rows (g, lo, hi, part, rep, k, vec): of each pair of chunks (lo, hi), a row's links there and its component's least."""
 
-    def group(lo: int, hi: int, part: np.ndarray, rep: np.ndarray, k: np.ndarray, x: np.ndarray) -> list[tuple]:
+    def group(lo: int, hi: int, part: np.ndarray, rep: np.ndarray, k: np.ndarray, x: Exact | Rounded) -> list[tuple]:
         a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         if not len(a) or not len(b):
             return []
         n, forest = np.zeros(len(rep), np.int64), Forest()
+        label = rep[b].copy()  # the root of every row of b
         for s in range(0, len(a), 256):
             mine = a[s : s + 256]
-            near = x[mine] @ x[b].T >= cosine
+            near = x.near(mine, b, cosine)
             if lo == hi:
                 near[np.arange(len(mine)), np.arange(s, s + len(mine))] = False
             n[mine] += near @ k[b]
             if lo != hi:
                 n[b] += k[mine] @ near
-            # a row's links are joined through its first one: as many steps as rows, and those that are not joined yet
-            first = np.where(near.any(axis=1), near.argmax(axis=1), -1)
-            label = np.array([forest.find(int(rep[j])) for j in b])
-            for i, f in zip(range(len(mine)), first):
-                if f >= 0:
-                    if forest.join(int(rep[mine[i]]), int(rep[b[f]])):
-                        label = None
-                    if label is None:
-                        label = np.array([forest.find(int(rep[j])) for j in b])
-                    others = np.unique(label[near[i]])
-                    if len(others) > 1:
-                        for o in others[1:].tolist():
-                            forest.join(int(others[0]), o)
-                        label = np.array([forest.find(int(rep[j])) for j in b])
+            # a row's links are joined through their roots: no more joins than there are rows
+            for i in np.flatnonzero(near.any(axis=1)):
+                roots = np.unique(np.append(label[near[i]], forest.find(int(rep[mine[i]]))))
+                if len(roots) > 1:
+                    for o in roots[1:].tolist():
+                        forest.join(int(roots[0]), o)
+                    label[np.isin(label, roots)] = forest.find(int(roots[0]))
         return [(int(r), int(c), int(forest.find(int(r)))) for r, c in zip(rep, n) if c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +236,7 @@ def rerank(rows: DataFrame, cosine: float, parts: int) -> DataFrame:
                 if (g, lo, hi) != key:
                     if len(held) > 1:
                         p, r, n, v = zip(*held)
-                        done += group(key[1], key[2], np.array(p), np.array(r), np.array(n), np.frombuffer(b"".join(v)).reshape(len(held), -1))
+                        done += group(key[1], key[2], np.array(p), np.array(r), np.array(n), kind(v))
                     key, held = (g, lo, hi), []
                 held.append((part, rep, k, vec))
             if done:
@@ -200,62 +245,123 @@ def rerank(rows: DataFrame, cosine: float, parts: int) -> DataFrame:
     return rows.select("g", "lo", "hi", "part", "rep", "k", "vec").repartition(parts, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(run, LINKS)
 
 
+def _chunk(n: str | Column) -> Column:
+    return F.ceil((F.col(n) if isinstance(n, str) else n) / CHUNK).cast("long")
+
+
+def _each(n: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), n - 1)
+
+
+def propose_wide(wide: DataFrame, cosine: float, parts: int) -> DataFrame:
+    """Candidate edges of bands of more than WIDE classes, from rows (bk, rep, n, lead, sig).
+
+    Members like the band's first are linked with it, in chunks that each hold the first.
+    Those that are not meet all members, in pairs of chunks; a band of copies has few of them.
+    """
+    size = F.col("size")
+    first = wide.where("rep = lead").select("bk", "rep", "lead", "sig", F.explode(_each(_chunk("n"))).alias("part"))
+    rest = wide.where("rep <> lead").select("bk", "rep", "lead", "sig", F.pmod(F.xxhash64("rep"), _chunk("n")).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, top = None, None
+        for batch in batches:
+            raw = [np.frombuffer(r, np.uint8) for r in batch.column(4).to_pylist()]
+            like = np.zeros(len(raw), bool)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()))
+            for i, k in enumerate(keys):  # the first comes first in its chunk
+                if k != key:
+                    key, top = k, raw[i]
+                    like[i] = True
+                    continue
+                like[i] = most(raw[i][None], top[None])[0] >= cosine
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(like)], names=["bk", "rep", "lead", "like"])
+
+    order = first.union(rest).select("bk", "rep", "lead", "part", "sig").repartition(parts, "bk", "part").sortWithinPartitions("bk", "part", F.col("rep") != F.col("lead"))
+    met = checkpoint(order.mapInArrow(run, StructType([StructField("bk", LongType()), StructField("rep", LongType()), StructField("lead", LongType()), StructField("like", BooleanType())])).where("rep <> lead"))
+    stars = met.where("like").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    # strangers take chunks 0 to co - 1, the others those after; every pair has a stranger's chunk
+    strange = met.where("not like").select(F.col("bk").alias("sk"), F.col("rep").alias("sr"))
+    counts = strange.groupBy("sk").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("sk", "ck")
+    dealt = wide.join(counts, F.col("bk") == F.col("ck")).join(strange, (F.col("bk") == F.col("sk")) & (F.col("rep") == F.col("sr")), "left")
+    co, ci = _chunk(size), _chunk(F.col("n") - size)
+    out = F.col("sr").isNotNull()
+    dealt = dealt.select("bk", "rep", "sig", F.when(out, F.pmod(F.xxhash64("rep"), co)).otherwise(co + F.pmod(F.xxhash64("rep"), F.greatest(ci, F.lit(1)))).alias("part"), F.explode(F.when(out, _each(co + ci)).otherwise(_each(co))).alias("o"))
+    pairs = dealt.select(F.col("bk").alias("g"), F.least("part", "o").alias("lo"), F.greatest("part", "o").alias("hi"), "part", "rep", F.lit(1).cast("long").alias("k"), F.col("sig").alias("vec"))
+    return stars.union(rerank(pairs, cosine, parts, Rounded).select(F.col("rep").alias("a"), F.col("root").alias("b")))
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The operator: (id, n_links, component_id, kept) of every row.
 
-    Vectors of the most frequent length are compared; null, zero and non-finite ones, and
-    other lengths, link with nothing. Repeated rows are vectors like others and count as
-    links. Rows without an id are kept, unlinked, with a null component.
+    Vectors of equal length are compared; null, empty, zero and non-finite ones link with
+    nothing. Repeated rows are vectors like others and count as links; so are different
+    vectors of one id. Rows without an id are kept, unlinked, with a null component.
     """
     spark = tune(vectors.sparkSession)
     parts = parts_for(vectors)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    size = rows.groupBy(F.size("v").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
-    total = int(size["count"]) if size else 0
-    dim = int(size["d"]) if size else 1
-    some = rows.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks() if total else pa.array([], pa.list_(pa.float64()))
-    some = some.chunk(0) if isinstance(some, pa.ChunkedArray) and some.num_chunks else some
-    x, ok = unit_rows(some, dim) if len(some) else (np.zeros((0, dim)), np.zeros(0, bool))
-    coder = Coder(x[ok], total, cosine)
-    floor, shared, mark = coder.floor, spark.sparkContext.broadcast(coder), os.urandom(8).hex()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, valid = unit_rows(batch.column(1), dim)
-            raw = [u.tobytes() if o else None for u, o in zip(unit, valid)]
+            raw = units_of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r and xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["id", "key", "vec"])
 
+    coded = checkpoint(rows.mapInArrow(keyed, StructType([StructField("id", LongType()), StructField("key", BinaryType()), StructField("vec", BinaryType())])))
+    classes = coded.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k"), F.first("vec").alias("vec"))
+    # a class is known by its least id; further classes of an id that comes with several vectors, by a hash
+    again = coded.where("id is not null and key is not null").groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select(F.col("id").alias("again"))
+    classes = checkpoint(classes.join(again, F.col("least") == F.col("again"), "left").select("key", F.when(F.col("again").isNull(), F.col("least")).otherwise(F.xxhash64("key")).alias("rep"), "least", "k", "vec", (F.length("vec") / 8).cast("int").alias("dim")))
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length
+    small = [d for d, n in sizes.items() if 1 < n <= CHUNK]
+    none = F.lit(0).cast("long")
+    met = classes.where(F.col("dim").isin(small) if small else F.lit(False)).select(F.col("dim").cast("long").alias("g"), none.alias("lo"), none.alias("hi"), none.alias("part"), "rep", "k", "vec")
+    links = checkpoint(rerank(met, cosine, parts))
+    for dim in sorted(d for d, n in sizes.items() if n > CHUNK):
+        links = links.union(_links(spark, classes.where(F.col("dim") == dim), dim, sizes[dim], cosine, parts))
+    found = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    light = classes.select("key", "rep", "least", "k")
+    linked = found.join(light, F.col("v") == F.col("rep")).select("key", "comp", "least")
+    named = linked.groupBy("comp").agg(F.min("least").alias("component")).withColumnRenamed("comp", "c2")
+    component_of = linked.join(named, F.col("comp") == F.col("c2")).select(F.col("key").alias("k3"), "component")
+    counts = links.groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "r4")
+    label = (
+        light.join(component_of, F.col("key") == F.col("k3"), "left").join(counts, F.col("rep") == F.col("r4"), "left")
+        .select(F.col("key").alias("k2"), F.coalesce("component", "least").alias("comp"), (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n"))
+    )
+    labelled = coded.select("id", "key").join(label.hint("shuffle_hash"), F.col("key") == F.col("k2"), "left")
+    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("comp", "id"))
+    n_links = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("long")
+    return labelled.select(F.col("id").alias(id_col), n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _links(spark, classes: DataFrame, dim: int, total: int, cosine: float, parts: int) -> DataFrame:
+    """LINKS of the classes (rep, k, vec) of one length, of which there are more than a chunk holds."""
+    some = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").toArrow().column(0).to_pylist()
+    shared, mark = spark.sparkContext.broadcast(Coder(np.frombuffer(b"".join(some)).reshape(len(some), dim), total, cosine)), os.urandom(8).hex()
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _HELD:
             _HELD.clear()
             _HELD[mark] = shared.value
         for batch in batches:
-            tables, packed = _HELD[mark].code(np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(batch.num_rows, dim))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(tables), pa.list_(pa.int64())), pa.array([p.tobytes() for p in packed], pa.binary())], names=["rep", "tables", "sig"])
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(batch.num_rows, dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_HELD[mark].code(x)), pa.list_(pa.int64())), pa.array(in_bytes(x), pa.binary())], names=["rep", "tables", "sig"])
 
-    coded = checkpoint(rows.mapInArrow(keyed, StructType([StructField("id", LongType()), StructField("key", BinaryType()), StructField("vec", BinaryType())])))
-    classes = checkpoint(coded.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"), F.first("vec").alias("vec")))
     codes = classes.select("rep", "vec").mapInArrow(code, StructType([StructField("rep", LongType()), StructField("tables", ArrayType(LongType())), StructField("sig", BinaryType())]))
     banded = codes.select("rep", F.explode("tables").alias("bk"))
     shared_keys = banded.groupBy("bk").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1").withColumnRenamed("bk", "bk2")
-    members = checkpoint(banded.join(shared_keys, F.col("bk") == F.col("bk2")).select("bk", "rep", "n", "lead"))
-    small = members.where(F.col("n") <= WIDE).join(codes.select(F.col("rep").alias("r2"), "sig"), F.col("rep") == F.col("r2"))
-    wide = members.where((F.col("n") > WIDE) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    clusters = components(propose(small, floor, parts, agreement).union(wide).distinct())
-    sized = clusters.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")).withColumnRenamed("comp", "g")
+    members = banded.join(shared_keys, F.col("bk") == F.col("bk2")).select("bk", "rep", "n", "lead")
+    members = checkpoint(members.join(codes.select(F.col("rep").alias("r2"), "sig"), F.col("rep") == F.col("r2")).select("bk", "rep", "n", "lead", "sig"))
+    edges = propose(members.where(F.col("n") <= WIDE), cosine, parts, most)
+    wide = members.where(F.col("n") > WIDE)
+    if wide.limit(1).count():
+        edges = edges.union(propose_wide(wide, cosine, parts))
+    clusters = components(edges.distinct())
+    sized = clusters.groupBy("comp").agg(_chunk(F.count(F.lit(1))).alias("chunks")).withColumnRenamed("comp", "g")
     placed = clusters.join(sized, F.col("comp") == F.col("g")).select("g", F.col("v").alias("r3"), "chunks", F.pmod(F.xxhash64("v"), F.col("chunks")).alias("part"))
-    met = placed.join(classes.select("rep", "k", "vec"), F.col("r3") == F.col("rep")).select("g", "part", "rep", "k", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
-    links = checkpoint(rerank(met.select("g", F.least("part", "o").alias("lo"), F.greatest("part", "o").alias("hi"), "part", "rep", "k", "vec"), cosine, parts))
-    found = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = links.groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "r4")
-    label = (
-        classes.select("key", "rep", "k").join(found, F.col("rep") == F.col("v"), "left").join(counts, F.col("rep") == F.col("r4"), "left")
-        .select(F.col("key").alias("k2"), F.coalesce("comp", "rep").alias("comp"), (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n"))
-    )
-    linked = coded.select("id", "key").join(label.hint("shuffle_hash"), F.col("key") == F.col("k2"), "left")
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("comp", "id"))
-    n_links = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("long")
-    return linked.select(F.col("id").alias(id_col), n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    met = placed.join(classes.select("rep", "k", "vec"), F.col("r3") == F.col("rep")).select("g", "part", "rep", "k", "vec", F.explode(_each(F.col("chunks"))).alias("o"))
+    return checkpoint(rerank(met.select("g", F.least("part", "o").alias("lo"), F.greatest("part", "o").alias("hi"), "part", "rep", "k", "vec"), cosine, parts))
 
 
 _HELD: dict[str, Coder] = {}

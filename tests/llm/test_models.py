@@ -186,6 +186,22 @@ def closed(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def brute_links(rows, cosine=0.95):
+    """(links, least reachable id) of every row, each row a vector of its own."""
+    unit = {}
+    for n, (i, v) in enumerate(rows):
+        if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v):
+            u = np.array(v) / np.abs(v).max()
+            unit[n] = u / np.linalg.norm(u)
+    links = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= cosine]
+    n_links, comp = Counter(k for l in links for k in l), closed(list(range(len(rows))), links)
+    least = {}
+    for n, c in comp.items():
+        if rows[n][0] is not None:
+            least[c] = min(least.get(c, rows[n][0]), rows[n][0])
+    return Counter((i, n_links[n], None if i is None else least[comp[n]], i is None or least[comp[n]] == i) for n, (i, _) in enumerate(rows))
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_vectors_equal_brute_force(spark, monkeypatch, small):
     if small:
@@ -195,20 +211,28 @@ def test_vectors_equal_brute_force(spark, monkeypatch, small):
     centres = rng.normal(size=(30, 24))
     x = [c + rng.normal(scale=s, size=24) for c in centres for s in (0.05, 0.1, 0.12, 0.15, 0.2)] + [centres[0] * k for k in (1.0, 3.0, 1e-160)]
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 24), (502, [float("nan")] + [1.0] * 23), (503, [1.0] * 7), (504, x[3].tolist()), (504, x[3].tolist()), (505, [None] + [1.0] * 23)]
+    # several lengths, an empty one, rows without id, one id with two vectors
+    rows += [(510 + k, [1.0, 2.0 + 0.1 * (k % 3)]) for k in range(9)] + [(530, [5.0]), (531, [-1.0]), (532, [7.0]), (533, []), (None, x[3].tolist()), (None, None), (504, x[9].tolist()), (2, x[60].tolist())]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, n_links int")
-    unit = {}
-    for n, (i, v) in enumerate(rows):
-        if v is not None and len(v) == 24 and None not in v and np.isfinite(v).all() and np.any(v):
-            u = np.array(v) / np.abs(v).max()
-            unit[n] = u / np.linalg.norm(u)
-    links = [(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.95]
-    n_links = Counter(k for l in links for k in l)
-    comp = closed([i for i, _ in rows], [(rows[a][0], rows[b][0]) for a, b in links])
-    want = Counter((i, n_links[n], comp[i], comp[i] == i) for n, (i, _) in enumerate(rows))
-    assert Counter(map(tuple, itq.near_vectors(df).collect())) == want
+    assert Counter(map(tuple, itq.near_vectors(df).collect())) == brute_links(rows)
     assert itq.near_vectors(df.where("false")).count() == 0
 
 
+def test_bands_of_any_width(spark, monkeypatch):
+    """A band of copies and strangers, wider than a chunk: the same components as all pairs have."""
+    monkeypatch.setattr(itq, "CHUNK", 5)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3, 16))
+    x = np.concatenate([base[0] + rng.normal(scale=0.05, size=(40, 16)), base[1] + rng.normal(scale=0.05, size=(9, 16)), rng.normal(size=(12, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sig = itq.in_bytes(x)
+    df = spark.createDataFrame([(7, i, len(x), 0, s) for i, s in enumerate(sig)], "bk long, rep long, n long, lead long, sig binary")
+    got = closed(list(range(len(x))), [(r.a, r.b) for r in itq.propose_wide(df, 0.95, 3).collect()])
+    may = itq.Rounded(sig).near(np.arange(len(x)), np.arange(len(x)), 0.95)
+    assert got == closed(list(range(len(x))), [tuple(p) for p in np.argwhere(may).tolist()])
+    assert not ((x @ x.T >= 0.95) & ~may).any() and (may & (x @ x.T < 0.92)).sum() == 0
+
+
 def around(n, shift, seed, d=64):
     """Unit vectors whose mean cosine is about shift^2 / (1 + shift^2), and one at cosine 0.9501 to each."""
     rng = np.random.default_rng(seed)
@@ -222,8 +246,10 @@ def around(n, shift, seed, d=64):
 @pytest.mark.parametrize("shift,total", [(0, 130_000), (1, 1_000_000), (2, 130_000), (0, 8_000_000)])
 def test_recall_does_not_fall_with_size_or_a_common_mean(shift, total):
     coder = itq.Coder(around(8192, shift, 1)[0], total, 0.95)
-    (ka, sa), (kb, sb) = map(coder.code, around(4000, shift, 2))
-    assert coder.width and ((ka == kb).any(axis=1) & (itq.agreement(sa, sb) >= coder.floor)).mean() >= 0.997
+    a, b = around(4000, shift, 2)
+    assert coder.width and (coder.code(a) == coder.code(b)).any(axis=1).mean() >= 0.997
+    rows = lambda v: np.array([np.frombuffer(r, np.uint8) for r in itq.in_bytes(v)])
+    assert (itq.most(rows(a), rows(b)) >= 0.95).all()
 
 
 def test_vectors_of_an_uncentred_table_equal_brute_force(spark):
