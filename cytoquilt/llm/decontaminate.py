@@ -15,9 +15,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import field, table, tune
+from .common import checkpoint, field, free_name, table, tune
 
 #: Edits allowed per character of an item.
 RATE = 0.08
@@ -128,17 +129,41 @@ _HELD: dict[str, Matcher] = {}
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The operator: (document id, item id, distance, end, stretch) of every item in every row of docs.
 
-    A null or empty text or item matches nothing. Distances count characters of the normal
-    form. Every text is read whole and once per PASS_CHARS of items; documents are not shuffled.
+    A null or empty text or item matches nothing. Repeated rows of docs or items each give
+    their rows; ids are of any type and may be null. Distances count characters of the normal
+    form. Columns keep the names of the ids; another column of the same name gets underscores
+    before it. Every text is read whole and once per PASS_CHARS of items; documents are not
+    shuffled. Several passes follow one another: each is written to the shared folder, and its
+    items leave the driver before the next ones come.
     """
     spark = tune(docs.sparkSession)
-    passes = _passes(items, item_text)
-    schema = StructType([field(docs, id_col), field(items, item_id), StructField("distance", IntegerType()), StructField("end", IntegerType()), StructField("stretch", StringType())])
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__raw"))
-    out = None
+    names = [id_col]
+    for name in (item_id, "distance", "end", "stretch"):
+        while name.lower() in {n.lower() for n in names}:
+            name = "_" + name
+        names.append(name)
+    kind = items.schema[item_id].dataType
+    kinds = [to_arrow_type(kind), pa.int32(), pa.int32(), pa.string()]
+    schema = StructType([field(docs, id_col), *(StructField(n, t) for n, t in zip(names[1:], (kind, IntegerType(), IntegerType(), StringType())))])
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias(free_name(docs, "raw")))
+
+    def found(matcher: Matcher, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        at, cols = [], ([], [], [], [])
+        for i, raw in enumerate(batch.column(1)):
+            for hit in matcher.find((raw.as_py() or b"").decode("utf-8", "replace")):
+                at.append(i)
+                for c, v in zip(cols, hit):
+                    c.append(v)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *map(pa.array, cols, kinds)], names=names) if at else None
+
+    passes, out = _passes(items, item_text), None
     for n in range(passes):
-        out_n = rows.mapInArrow(_runner(_some(items, item_id, item_text, n, passes), rate, id_col, item_id), schema)
-        out = out_n if out is None else out.union(out_n)
+        shared = _some(items, item_id, item_text, n, passes)
+        part = rows.mapInArrow(_mapper(shared, rate, found), schema)
+        if passes > 1:
+            part = checkpoint(part)
+            shared.destroy()
+        out = part if out is None else out.union(part)
     return out
 
 
@@ -154,44 +179,36 @@ def _some(items: DataFrame, item_id: str, item_text: str, n: int, passes: int):
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no item; one pass of the items after the other."""
+    """The rows of docs, all columns, that hold no item; several passes of the items follow one another as in find_leaks."""
     tune(docs.sparkSession)
+    helper, schema = free_name(docs, "raw"), docs.schema
+
+    def clean(matcher: Matcher, batch: pa.RecordBatch) -> pa.RecordBatch:
+        last = batch.num_columns - 1
+        keep = [not matcher.find((raw.as_py() or b"").decode("utf-8", "replace")) for raw in batch.column(last)]
+        return batch.select(list(range(last))).filter(pa.array(keep, pa.bool_()))
+
     passes = _passes(items, item_text)
     for n in range(passes):
-        shared, key = _some(items, item_id, item_text, n, passes), os.urandom(8).hex()
-        docs = docs.withColumn("__raw", docs[text_col].cast("binary")).mapInArrow(_filter(shared, rate, key), docs.schema)
+        shared = _some(items, item_id, item_text, n, passes)
+        docs = docs.withColumn(helper, docs[text_col].cast("binary")).mapInArrow(_mapper(shared, rate, clean), schema)
+        if passes > 1:
+            docs = checkpoint(docs)
+            shared.destroy()
     return docs
 
 
-def _filter(shared, rate: float, key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _HELD:
-            _HELD.clear()
-            _HELD[key] = Matcher(shared.value, rate)
-        for batch in batches:
-            clean = [not _HELD[key].find((raw.as_py() or b"").decode("utf-8", "replace")) for raw in batch.column(batch.num_columns - 1)]
-            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(clean, pa.bool_()))
-
-    return run
-
-
-def _runner(shared, rate: float, id_col: str, item_id: str):
+def _mapper(shared, rate: float, each):
+    """each(matcher, batch) over the batches of a task; a worker builds a pass's matcher once."""
     key = os.urandom(8).hex()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _HELD:
             _HELD.clear()
             _HELD[key] = Matcher(shared.value, rate)
-        matcher = _HELD[key]
         for batch in batches:
-            at, cols = [], ([], [], [], [])
-            for i, raw in enumerate(batch.column(1)):
-                for found in matcher.find((raw.as_py() or b"").decode("utf-8", "replace")):
-                    at.append(i)
-                    for c, v in zip(cols, found):
-                        c.append(v)
-            if at:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], names=[id_col, item_id, "distance", "end", "stretch"])
+            if (out := each(_HELD[key], batch)) is not None:
+                yield out
 
     return run
 
