@@ -53,21 +53,32 @@ def parts_for(df: DataFrame, each: int = 8 << 20, least: int = 2) -> int:
     return int(min(max(own, least, -(-scan_bytes(df) // each)), 200_000))
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a single machine (a test)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors and driver have no shared folder")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage through the shared folder; only a session without one (a test) gets a temporary one."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
+    """Cut the lineage through the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, for tables or archives that executors write and read."""
-    if not spark.sparkContext.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    return f"{shared_root(spark)}/{name}-{os.urandom(6).hex()}"
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is not read any more, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_mod(col: str, n: int) -> Column:

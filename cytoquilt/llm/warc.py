@@ -33,8 +33,10 @@ ARC_FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Payloads below this stay responses whatever their copies.
 MIN_REVISIT = 1000
-#: Bytes of one WARC file before compression, about: bounds what a task holds when it reads a file back.
+#: Bytes of one archive before compression, or one record if that is longer: what a task holds when it writes or reads one.
 FILE_BYTES = 16 << 20
+#: What closes a record.
+CLOSE = b"\r\n\r\n"
 EPOCH_DATE = "20000101000000"
 
 
@@ -201,14 +203,23 @@ def pages_as_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     tune(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in enumerate(batches):
-            version, name = 1 + n % 2, f"segment-{n}.arc"
-            out = [arc_version_block(version, name)]
+        n, out, held = 0, [], 0
+        for batch in batches:
             for key, url, body in zip(*(c.to_pylist() for c in batch.columns)):
+                version, name = 1 + n % 2, f"segment-{n}.arc"
                 body = body or b""
+                if out and held + len(body) > FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["arc"])
+                    n, out, held = n + 1, [], 0
+                    version, name = 1 + n % 2, f"segment-{n}.arc"
+                if not out:
+                    out.append(arc_version_block(version, name))
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
                 out.append(arc_record(version, f"{arc_clean(url)}#key={'' if key is None else key}", EPOCH_DATE, "text/html", block, name))
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["arc"])
+                held += len(block)
+            if out:  # a segment ends with its batch at the latest
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["arc"])
+                n, out, held = n + 1, [], 0
 
     rows = pages.select(F.col(id_col).cast("long").alias("k"), F.col(url_col).cast("string").alias("u"), F.col(body_col).cast("binary").alias("b"))
     return rows.mapInArrow(run, StructType([StructField("arc", BinaryType())]))
@@ -244,7 +255,9 @@ def convert(arcs: DataFrame, out_path: str, min_revisit: int = MIN_REVISIT) -> N
 
     Groups of equal payloads are found from digests alone, counted before the shuffle. Rows
     meet their group's largest key by a hash join, which adaptive execution splits where one
-    digest is hot; bodies of revisits are not written.
+    digest is hot; bodies of revisits are not written. A file is one row of the writer, of
+    FILE_BYTES at most or one record, however many partitions there are. Archives are parsed
+    twice, for the digests and for the records: that costs time, but no copy on disk.
     """
     light = parse_arc(arcs, with_block=False).where(F.col("size") >= min_revisit)
     groups = light.groupBy("digest", "size").agg(F.max(F.struct("key", "url", "date")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), F.col("size").alias("s"), "top")
@@ -254,19 +267,25 @@ def convert(arcs: DataFrame, out_path: str, min_revisit: int = MIN_REVISIT) -> N
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for batch in batches:
-            out = []
             for i in range(batch.num_rows):
                 r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
                 rec = {"URL": r["url"], "IP-address": r["ip"], "Archive-date": r["date"], "block": r["block"]}
                 again = r["grouped"] and r["key"] != r["top_key"]
                 refers = record_id(r["top_url"], r["top_date"], base64.b32encode(bytes.fromhex(r["digest"])).decode(), str(r["top_key"])) if again else None
-                out.append(warc_record(rec, "revisit" if again else "response", refers, r["top_key"], {"X-Key": str(r["key"]) if r["key"] is not None else "", "X-Payload-Length": str(r["size"])}))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
-    records = joined.mapInArrow(write, StructType([StructField("record", BinaryType())]))
-    # the closing line ends of a record are the writer's separator, so a file is the records' bytes and nothing else
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(out_path)
+                raw = warc_record(rec, "revisit" if again else "response", refers, r["top_key"], {"X-Key": str(r["key"]) if r["key"] is not None else "", "X-Payload-Length": str(r["size"])})
+                if out and held + len(raw) > FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([CLOSE.join(out)], pa.binary())], names=["records"])
+                    out, held = [], 0
+                out.append(raw)
+                held += len(raw) + len(CLOSE)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([CLOSE.join(out)], pa.binary())], names=["records"])
+
+    files = joined.mapInArrow(write, StructType([StructField("records", BinaryType())]))
+    # the last record's closing line ends are the writer's separator, so a file is the records' bytes and nothing else
+    files.select(F.col("records").cast("string").alias("value")).write.option("lineSep", CLOSE.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip").text(out_path)
 
 
 WARC_ROWS = StructType([StructField("key", LongType()), StructField("payload_bytes", LongType()), StructField("payload_digest", StringType()), StructField("record_type", StringType()), StructField("refers_to", LongType()), StructField("record_id", StringType()), StructField("target_uri", StringType()), StructField("warc_date", StringType()), StructField("sound", IntegerType())])
