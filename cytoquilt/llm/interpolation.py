@@ -8,7 +8,8 @@ other training documents, by taking its own counts off the corpus counts.
 Counts travel by the block exchange: buckets send the distinct words and bigrams of their
 documents with training counts, shards add them up and answer in the same order, and the
 buckets write each document's counts, packed, to the shared folder. The weights are then
-learned from one bounded histogram, and scores need no text.
+learned from one bounded histogram, and scores need no text. Hashes have a fixed width, so
+the same rows score alike however they are stored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from .blocks import Buckets, texts
-from .common import checkpoint, scan_bytes, table
+from .blocks import Buckets, pack_counts, pack_keys, texts, unpack_counts, unpack_keys
+from .common import checkpoint, table
 from .passages import ODD, mix, word_hashes
 
 #: Hash of the end of a text and of the context of its first word: no word hashes are given out twice.
@@ -34,87 +35,49 @@ CONTEXTS, RATIOS, COUNTS = 24, 128, 80
 ROUNDS = 200
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as a first key and differences of as few bytes as the largest needs."""
-    if not len(keys):
-        return b""
-    d = np.diff(keys)
-    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+#: Bits of a bigram's hash: at 100 TB, one distinct bigram in some ten thousand shares its hash with another.
+PAIR_BITS = 50
 
 
-def unpack_keys(raw: bytes) -> np.ndarray:
-    if not raw:
-        return np.zeros(0, np.uint64)
-    width = raw[0]
-    part = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
-    d = np.zeros((len(part) + 1, 8), np.uint8)
-    d[0] = np.frombuffer(raw, np.uint8, 8, 1)
-    d[1:, :width] = part
-    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
+class TwoKinds:
+    """Keys of words (even, 63 bits) and of bigrams (odd, PAIR_BITS high bits), each packed by themselves."""
 
+    def pack(self, keys: np.ndarray) -> bytes:
+        odd = (keys & np.uint64(1)).astype(bool)
+        words = pack_keys(keys[~odd])
+        return len(words).to_bytes(4, "little") + words + pack_keys(keys[odd], 64 - PAIR_BITS)
 
-def pack_counts(n: np.ndarray) -> bytes:
-    top = int(n.max()) if len(n) else 0
-    kind = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    planes = n.astype(f"<u{kind}").view(np.uint8).reshape(-1, kind).T  # like bytes together compress better
-    return bytes([kind]) + zlib.compress(planes.tobytes(), 1)
-
-
-def unpack_counts(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64)
+    def unpack(self, raw: bytes) -> np.ndarray:
+        size = int.from_bytes(raw[:4], "little")
+        return np.sort(np.concatenate([unpack_keys(raw[4 : 4 + size]), unpack_keys(raw[4 + size :], drop=64 - PAIR_BITS) | np.uint64(1)]))
 
 
 class Tokens:
-    """The tokens of a bucket: words and one end for each document, with their types and bigrams."""
+    """The tokens of a bucket: words and one end for each document; keys of their types and bigrams, and each token's places among them."""
 
-    def __init__(self, raws: list[bytes], bits: int):
+    def __init__(self, raws: list[bytes]):
         parts = [np.concatenate([word_hashes(r.lower()), [END]]).astype(np.uint64) for r in raws]
-        h = np.concatenate(parts)
+        h = np.concatenate(parts) & ~np.uint64(1)
         size = np.array([len(p) for p in parts])
         self.cut = np.concatenate([[0], np.cumsum(size)])
         self.doc = np.repeat(np.arange(len(parts)), size)
         before = np.concatenate([[START], h[:-1]]).astype(np.uint64)
         before[self.cut[:-1]] = START
-        pair = mix(before * ODD + h) >> np.uint64(64 - bits)
-        self.types, self.type_of = np.unique(h, return_inverse=True)
-        self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
+        low = np.uint64(64 - PAIR_BITS)
+        pair = (mix(before * ODD + h) >> low << low) | np.uint64(1)
+        self.keys, place = np.unique(np.concatenate([h, pair]), return_inverse=True)
+        self.type_of, self.pair_of = place[: len(h)], place[len(h) :]
         first = np.zeros(len(h), bool)
         first[self.cut[:-1]] = True
         # the context's type; a first word's context is as frequent as documents, and so as ends
-        end = int(np.searchsorted(self.types, END))
+        end = int(np.searchsorted(self.keys, END & ~np.uint64(1)))
         self.context_of = np.concatenate([[end], self.type_of[:-1]])
         self.context_of[first] = end
 
-    def own(self, what: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def own(self, what: np.ndarray) -> np.ndarray:
         """For every token, how often its document has the same value."""
-        key = self.doc * (int(what.max()) + 1 if len(what) else 1) + what
-        values, at, n = np.unique(key, return_inverse=True, return_counts=True)
-        return n[at], values, n
-
-
-def shard_cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Places at which sorted keys of so many bits go over to the next of `shards` equal ranges."""
-    marks = [((1 << bits) * i // shards) for i in range(1, shards)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(marks, np.uint64)), [len(keys)]])
-
-
-def merge(blocks: list[dict], keys: str, counts: str) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    """(total counts in each block's order, whether each block is the first with a counted key, distinct counted keys)."""
-    per = [unpack_keys(x[keys]) for x in blocks]
-    every = np.concatenate(per)
-    n = np.concatenate([unpack_counts(x[counts]) for x in blocks])
-    order = np.argsort(every, kind="stable")
-    k = every[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    start = np.flatnonzero(new)
-    total = np.add.reduceat(n[order], start) if len(start) else np.zeros(0, np.int64)
-    full, lead = np.empty(len(every), np.int64), np.zeros(len(every), bool)
-    full[order] = total[np.cumsum(new) - 1] if len(start) else 0
-    lead[order[start]] = total > 0
-    cuts = np.cumsum([len(p) for p in per])[:-1]
-    return np.split(full, cuts), np.split(lead, cuts), int((total > 0).sum())
+        _, at, n = np.unique(self.doc * (int(what.max()) + 1 if len(what) else 1) + what, return_inverse=True, return_counts=True)
+        return n[at]
 
 
 def cells(context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -161,40 +124,26 @@ def held(i: int | None, mod: int, rest: int) -> bool:
 def count(docs: DataFrame, id_col: str, text_col: str, mod: int, rest: int) -> DataFrame:
     """(id, STATS) of every document: its tokens' corpus counts, and each bucket's part of the held-out histogram."""
     b = Buckets(docs, id_col, text_col, shard_bytes=4 << 20)
-    shards = b.shards
-    # so many bits that distinct bigrams collide once in some ten thousand at this input's size
-    bits = min(64, max(40, scan_bytes(docs).bit_length() + 15))
 
     def read(t: pa.Table) -> tuple[Tokens, np.ndarray]:
-        return Tokens(list(texts(t)), bits), np.array([not held(i, mod, rest) for i in t.column("k0").to_pylist()])
+        return Tokens(list(texts(t))), np.array([not held(i, mod, rest) for i in t.column("k0").to_pylist()])
 
-    def pack(t: pa.Table) -> dict:
+    def question(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         x, train = read(t)
-        on = train[x.doc].astype(float)
-        n1 = np.bincount(x.type_of, weights=on, minlength=len(x.types)).astype(np.int64)
-        n2 = np.bincount(x.pair_of, weights=on, minlength=len(x.pairs)).astype(np.int64)
-        c1, c2 = shard_cuts(x.types, 64, shards), shard_cuts(x.pairs, bits, shards)
-        return {
-            s: (int(c1[s + 1] - c1[s] + c2[s + 1] - c2[s]), pack_keys(x.types[c1[s] : c1[s + 1]]), pack_counts(n1[c1[s] : c1[s + 1]]), pack_keys(x.pairs[c2[s] : c2[s + 1]]), pack_counts(n2[c2[s] : c2[s + 1]]))
-            for s in range(shards)
-            if c1[s + 1] > c1[s] or c2[s + 1] > c2[s]
-        }
-
-    def reply(blocks: list[dict]) -> list[tuple]:
-        full1, lead, _ = merge(blocks, "k1", "n1")
-        full2, _, _ = merge(blocks, "k2", "n2")
-        return [(x["bucket"], x["shard"], pack_counts(a), pack_counts(c), int(f.sum()).to_bytes(8, "little")) for x, a, f, c in zip(blocks, full1, lead, full2)]
+        on = train[x.doc]
+        return x.keys, np.bincount(x.type_of[on], minlength=len(x.keys)) + np.bincount(x.pair_of[on], minlength=len(x.keys))
+
+    def decide(keys: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, int]:
+        return total, int(((keys & np.uint64(1) == 0) & (total > 0)).sum())
 
     def tell(t: pa.Table, answers: list[dict]) -> list:
         x, train = read(t)
-        answers.sort(key=lambda a: a["n"])
-        word = np.concatenate([unpack_counts(a["n1"]) for a in answers])
-        pair = np.concatenate([unpack_counts(a["n2"]) for a in answers])
-        types = sum(int.from_bytes(a["lead"], "little") for a in answers)
-        w, p, c = word[x.type_of], pair[x.pair_of], word[x.context_of]
+        answers.sort(key=lambda a: a["shard"])
+        n = np.concatenate([unpack_counts(a["values"]) for a in answers])
+        types = sum(a["lead"] for a in answers)
+        w, p, c = n[x.type_of], n[x.pair_of], n[x.context_of]
         # without the document's own counts
-        own_w, _, _ = x.own(x.type_of)
-        own_p, _, _ = x.own(x.pair_of)
+        own_w, own_p = x.own(x.type_of), x.own(x.pair_of)
         own_c = np.concatenate([[1], own_w[:-1]])
         own_c[x.cut[:-1]] = 1
         on = train[x.doc]
@@ -209,7 +158,7 @@ def count(docs: DataFrame, id_col: str, text_col: str, mod: int, rest: int) -> D
             rows.append((not bool(train[i]), int(e - a), int(known[i]), float(logs[i]), types if i == 0 else 0, histogram if i == 0 else None, b"".join(len(r).to_bytes(4, "little") + r for r in raw)))
         return list(zip(*rows))
 
-    return b.meet(b.answer(b.ask(pack, ("k1", "n1", "k2", "n2")), reply, ("n1", "n2", "lead")), tell, STATS)
+    return b.meet(b.exchange(question, decide, TwoKinds(), whole=True), tell, STATS)
 
 
 def split_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,29 +1,38 @@
 """Line dedup by sharded minimal perfect hashing.
 
-Each shard holds the distinct 128-bit hashes of its lines, a minimal perfect hash over
-them, and three compact arrays that it indexes: a 32-bit fingerprint, the number of
-documents with the line, and the largest of their ids. Documents, packed by bucket,
-probe these arrays; lines themselves are never shuffled or joined.
+1. Documents, in buckets, give the 128-bit hashes of their distinct long lines with the
+   number of documents and the largest id; these are added up for the whole corpus.
+2. The hashes of lines found in enough documents are cut into shards. A shard is a minimal
+   perfect hash over its distinct line hashes and three compact arrays that it indexes: a
+   64-bit fingerprint, the number of documents, and the largest of their ids.
+3. Documents probe: each bucket sends the hashes of its lines to the shards' arrays, and
+   most are turned away there by the fingerprint. Lines themselves are neither shuffled nor
+   joined. An index of a large corpus is too large for every task to load, so probes go to
+   the shards; each shard is copied as often as its probes need (`salts`).
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .blocks import KEY16, Buckets, by_shard, ids, texts
-from .common import table
+from .blocks import KEY16, Buckets, by_shard, distinct, ids, texts
+from .common import scan_bytes, table
 
 #: White space that a line's key is stripped of: fixed by the contract.
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIN_CHARS, MIN_DOCS = 40, 5
 GAMMA, LEVELS = 1.7, 24
+#: Bytes of documents whose recurring lines make a shard, shards at most, and buckets that probe one copy of a shard.
+INDEX_BYTES, SHARDS, PROBERS = 64 << 20, 4096, 24
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -95,26 +104,18 @@ class LineIndex:
     """A shard: the perfect hash and the arrays that it indexes."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, last: np.ndarray):
-        """keys may repeat; counts add up, and the largest of last stays."""
-        order = np.lexsort((keys["hi"], keys["lo"]))
-        k = keys[order]
-        start = np.flatnonzero(np.concatenate([[True], (k["lo"][1:] != k["lo"][:-1]) | (k["hi"][1:] != k["hi"][:-1])])) if len(k) else np.zeros(0, np.int64)
-        distinct = k[start]
-        self.mph = PerfectHash(distinct)
-        at = self.mph.index(distinct)
-        self.mark = np.zeros(len(start), np.uint32)
-        self.count = np.zeros(len(start), np.uint32)
-        self.last = np.zeros(len(start), np.int64)
-        if len(start):
-            self.mark[at] = (distinct["hi"] >> np.uint64(32)).astype(np.uint32)
-            self.count[at] = np.minimum(np.add.reduceat(counts[order].astype(np.int64), start), 0xFFFFFFFF)
-            self.last[at] = np.maximum.reduceat(last[order], start)
+        """keys are distinct."""
+        self.mph = PerfectHash(keys)
+        at = self.mph.index(keys)
+        self.mark, self.count, self.last = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
+        self.mark[at], self.last[at] = keys["hi"], last
+        self.count[at] = np.minimum(counts, 0xFFFFFFFF)
 
     def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(documents with the line, largest id) for every key; 0 documents for an unknown one."""
         at = self.mph.index(keys)
         known = (at >= 0) & (at < len(self.mark))
-        known[known] = self.mark[at[known]] == (keys["hi"][known] >> np.uint64(32)).astype(np.uint32)
+        known[known] = self.mark[at[known]] == keys["hi"][known]
         count, last = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         count[known], last[known] = self.count[at[known]], self.last[at[known]]
         return count, last
@@ -128,28 +129,53 @@ def dedup_lines(docs: DataFrame, each: Callable, schema: StructType, id_col: str
     left out, so clashing names do no harm.
     """
     b = Buckets(docs, id_col, text_col, carry)
-    shards = b.shards
+    shards = int(max(1, min(scan_bytes(docs) // INDEX_BYTES, SHARDS)))
+    salts = -(-b.n // (PROBERS * shards))
 
-    def pack(t: pa.Table) -> dict:
+    def lines_of(t: pa.Table) -> dict[bytes, set[int]]:
         seen: dict[bytes, set[int]] = {}
         for i, raw in zip(ids(t), texts(t)):
             if len(raw) >= min_chars:
                 for line in raw.split(b"\n"):
                     if len(line) >= min_chars and (key := line_key(line, min_chars)) is not None:
                         seen.setdefault(key, set()).add(i)
+        return seen
+
+    def tally(t: pa.Table) -> pa.Table:
+        seen = lines_of(t)
         keys = np.frombuffer(b"".join(seen), KEY16)
-        return by_shard(keys, shards, np.fromiter(map(len, seen.values()), np.uint32, len(seen)), np.fromiter(map(max, seen.values()), np.int64, len(seen)))
-
-    def reply(blocks: list[dict]) -> list[tuple]:
-        keys = [np.frombuffer(x["keys"], KEY16) for x in blocks]
-        index = LineIndex(np.concatenate(keys), np.concatenate([np.frombuffer(x["docs"], np.uint32) for x in blocks]), np.concatenate([np.frombuffer(x["last"], np.int64) for x in blocks]))
-        out = []
-        for x, k in zip(blocks, keys):
-            count, last = index.probe(k)
-            hit = count >= min_docs
-            if hit.any():
-                out.append((x["bucket"], int(hit.sum()), k[hit].tobytes(), last[hit].tobytes()))
-        return out
+        n, last = np.fromiter(map(len, seen.values()), np.int64, len(seen)), np.fromiter(map(max, seen.values()), np.int64, len(seen))
+        return pa.table({"lo": keys["lo"].view(np.int64), "hi": keys["hi"].view(np.int64), "n": n, "last": last})
+
+    def build(t: pa.Table) -> pa.Table:
+        keys = np.empty(t.num_rows, KEY16)
+        keys["lo"], keys["hi"] = (t.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi"))
+        return pa.table({"shard": t.column("shard")[:1], "index": pa.array([pickle.dumps(LineIndex(keys, t.column("n").to_numpy(), t.column("last").to_numpy()))], pa.binary())})
+
+    def ask(t: pa.Table) -> pa.Table:
+        keys, _, _ = distinct(np.frombuffer(b"".join(lines_of(t)), KEY16))
+        bucket = t.column("bucket")[0].as_py()
+        rows = [(s, bucket % salts, bucket, keys[x:y].tobytes()) for s, x, y in by_shard(keys, shards)]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "salt", "bucket", "keys"])
+
+    def probe(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        rows = []
+        if asked.num_rows and shard.num_rows:
+            index = pickle.loads(shard.column("index")[0].as_py())
+            for bucket, raw in zip(asked.column("bucket").to_pylist(), asked.column("keys").to_pylist()):
+                keys = np.frombuffer(raw, KEY16)
+                n, last = index.probe(keys)
+                if (n >= min_docs).any():
+                    rows.append((bucket, keys[n >= min_docs].tobytes(), last[n >= min_docs].tobytes()))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "keys", "last"])
+
+    found = b.docs.groupBy("bucket").applyInArrow(tally, "lo long, hi long, n long, last long")
+    common = found.groupBy("lo", "hi").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where(F.col("n") >= min_docs)
+    # the same range of hashes as by_shard's
+    common = common.withColumn("shard", F.shiftright(F.shiftrightunsigned("lo", 32) * shards, 32))
+    index = common.groupBy("shard").applyInArrow(build, "shard long, index binary").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    asked = b.docs.groupBy("bucket").applyInArrow(ask, "shard long, salt long, bucket long, keys binary")
+    answers = asked.groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt")).applyInArrow(probe, "bucket long, keys binary, last binary")
 
     def tell(t: pa.Table, answers: list[dict]) -> list:
         keeper: dict[bytes, int] = {}
@@ -166,7 +192,6 @@ def dedup_lines(docs: DataFrame, each: Callable, schema: StructType, id_col: str
             rows.append(each(b"\n".join(kept), len(lines), len(lines) - len(kept)))
         return list(zip(*rows))
 
-    answers = b.answer(b.ask(pack, ("keys", "docs", "last")), reply, ("keys", "last"))
     return b.meet(answers, tell, schema)
 
 

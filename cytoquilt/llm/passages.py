@@ -6,9 +6,12 @@ Rounds over the block exchange:
    Buckets send their distinct anchors (about 2 in WINDOW - GRAM + 2 positions).
 2. For windows with a recurring anchor, buckets send 128-bit hashes; shards confirm those
    that start at two places at least.
-3. Each bucket joins its confirmed windows to passages, compiles these into one
-   Aho-Corasick automaton (a shard of the whole: its size is bounded by the bucket), and
-   streams all its documents through it to locate every occurrence.
+3. Confirmed windows are joined to passages, each taken from the one place where a bucket
+   has it first. Passages are sharded as documents are: a bucket's Aho-Corasick automaton
+   holds the anchors of those that its documents can contain, so that no document meets a
+   shard in vain. All its documents stream through; from every hit, text and passage are
+   compared word by word to both sides, and what agrees for a window or more is covered.
+   All further occurrences are found in this way alone, parts of a passage too.
 A document's words become a few code points each by a dictionary of the bucket, so that the
 automaton steps over words, not letters.
 """
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .blocks import KEY16, Buckets, by_shard, texts
+from .blocks import KEY16, Buckets, Plain, distinct, places, texts, unpack_keys
 from .common import table
 
 WINDOW, GRAM = 35, 16
@@ -104,7 +107,7 @@ class Words:
         """The anchor hash of every window, whole or not."""
         if not len(self.whole):
             return np.zeros(0, np.uint64)
-        return least_of(rolling(self.h, self.gram, 1), self.window - self.gram + 1)
+        return mix(least_of(rolling(self.h, self.gram, 1), self.window - self.gram + 1))
 
     def anchor_places(self) -> np.ndarray:
         """Anchor hashes, once for each place at which a run of words is the anchor of some whole window."""
@@ -114,7 +117,16 @@ class Words:
         pad = np.zeros(w - 1, np.uint64)
         # of the windows over a place, the greatest least hash: the place's own if it is an anchor at all
         most = ~least_of(~np.concatenate([pad, np.where(self.whole, least_of(g, w), np.uint64(0)), pad]), w)
-        return g[most == g]
+        return mix(g[most == g])  # least hashes are small; mixed ones spread evenly over shards
+
+    def anchors_of(self, starts: np.ndarray) -> np.ndarray:
+        """Places of the anchors (the first of equal ones) of the windows that start there."""
+        g, w = rolling(self.h, self.gram, 1), self.window - self.gram + 1
+        view, found = np.lib.stride_tricks.sliding_window_view(g, w), []
+        for k in range(0, len(starts), 65_536):
+            some = starts[k : k + 65_536]
+            found.append(some + view[some].argmin(axis=1))
+        return np.concatenate(found)
 
     def windows(self) -> np.ndarray:
         return window_hashes(self.h, self.window)
@@ -126,67 +138,17 @@ def window_hashes(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return out
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each occurs, sorted by their low half."""
-    if keys.dtype != KEY16:
-        return np.unique(keys, return_counts=True)
-    if not len(keys):
-        return keys, np.zeros(0, np.int64)
-    k = keys[np.lexsort((keys["hi"], keys["lo"]))]
-    start = np.flatnonzero(np.concatenate([[True], (k["lo"][1:] != k["lo"][:-1]) | (k["hi"][1:] != k["hi"][:-1])]))
-    return k[start], np.diff(np.concatenate([start, [len(k)]]))
-
-
-def member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys are in sorted_keys (distinct uint64, or KEY16 with distinct low halves tried first)."""
-    if not len(sorted_keys) or not len(keys):
-        return np.zeros(len(keys), bool)
-    if keys.dtype != KEY16:
-        return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
-    lo = np.ascontiguousarray(sorted_keys["lo"])
-    at = np.minimum(np.searchsorted(lo, keys["lo"]), len(lo) - 1)
-    same = lo[at] == keys["lo"]
-    out = same & (sorted_keys["hi"][at] == keys["hi"])
-    for i in np.flatnonzero(same & ~out):  # equal low halves of different keys
-        j = int(at[i])
-        while j < len(lo) and lo[j] == keys["lo"][i]:
-            out[i] |= sorted_keys["hi"][j] == keys["hi"][i]
-            j += 1
-    return out
+#: A word is a few code points, each from a range of its own of 1 << SHIFT values: matches start at words only,
+#: and no node of an automaton has more children than a range has values (they are searched one by one).
+SHIFT = 7
 
 
-def recurring(blocks: list[dict], kind) -> list[tuple]:
-    """Answers of a shard: of each block, the keys that occur twice or more in all blocks together."""
-    keys = [np.frombuffer(x["keys"], kind) for x in blocks]
-    times = [np.frombuffer(x["times"], np.uint8).astype(np.int64) for x in blocks]
-    every, count = np.concatenate(keys), np.concatenate(times)
-    order = np.lexsort((every["hi"], every["lo"])) if kind == KEY16 else np.argsort(every, kind="stable")
-    k = every[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    start = np.flatnonzero(new)
-    total = np.add.reduceat(count[order], start)
-    hit = np.zeros(len(every), bool)
-    hit[order] = (total >= 2)[np.cumsum(new) - 1]
-    out, at = [], 0
-    for x, part in zip(blocks, keys):
-        mine = part[hit[at : at + len(part)]]
-        at += len(part)
-        if len(mine):
-            out.append((x["bucket"], len(mine), mine.tobytes()))
-    return out
-
-
-#: A word is DIGITS code points, each from a range of its own of 1 << SHIFT values: matches start at words
-#: only, and no node of an automaton has more children than a range has values (they are searched one by one).
-DIGITS, SHIFT = 3, 7
-
-
-def as_codes(rank: np.ndarray) -> str:
-    """Numbers below 1 << (DIGITS * SHIFT) as a string of DIGITS code points each."""
+def as_codes(rank: np.ndarray, digits: int) -> str:
+    """Numbers below 1 << (digits * SHIFT) as a string of so many code points each."""
     low = (1 << SHIFT) - 1
-    code = np.empty((len(rank), DIGITS), "<u2")
-    for d in range(DIGITS):
-        code[:, d] = ((rank >> (SHIFT * (DIGITS - 1 - d))) & low) + 1 + (d << SHIFT)
+    code = np.empty((len(rank), digits), "<u2")
+    for d in range(digits):
+        code[:, d] = ((rank >> (SHIFT * (digits - 1 - d))) & low) + 1 + (d << SHIFT)
     return code.tobytes().decode("utf-16-le")
 
 
@@ -195,49 +157,94 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def agree(x: np.ndarray, y: np.ndarray) -> int:
+    """How many first values of two arrays are equal."""
+    n, at, step = min(len(x), len(y)), 0, 32
+    while at < n:
+        end = min(n, at + step)
+        differ = x[at:end] != y[at:end]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = end, 4 * step
+    return n
+
+
+class Passages:
+    """A shard of the passages: an automaton of their anchors, and the words around each."""
+
+    def __init__(self, words: Words, spans: list[tuple[int, int]]):
+        """spans: word ranges of the passages. They may overlap: an anchor counts for each passage with a window that has it."""
+        self.words, self.gram, self.side = words, words.gram, words.window - words.gram
+        inside = np.zeros(len(words.h), bool)
+        for a, b in spans:
+            inside[a:b] = True
+        vocabulary = np.unique(words.h[inside])
+        self.rank = places(vocabulary, words.h) + 1  # 0: a word of no passage
+        self.digits = max(1, -(-int(len(vocabulary)).bit_length() // SHIFT))
+        self.text = as_codes(self.rank, self.digits)
+        starts = np.concatenate([np.arange(a, b - words.window + 1) for a, b in spans])
+        of = np.repeat(np.arange(len(spans)), [b - words.window + 1 - a for a, b in spans])
+        seeds = np.unique(np.stack([of, words.anchors_of(starts)], axis=1), axis=0)
+        self.seeds = [(s, *spans[k]) for k, s in seeds.tolist()]
+        where: dict[str, list[tuple[int, int, int]]] = {}
+        for seed in self.seeds:
+            where.setdefault(self.text[self.digits * seed[0] : self.digits * (seed[0] + self.gram)], []).append(seed)
+        self.automaton = ahocorasick.Automaton()
+        for code, at in where.items():
+            self.automaton.add_word(code, at)
+        self.automaton.make_automaton()
+        self.around: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def covered(self, a: int, b: int) -> np.ndarray | None:
+        """Which words of the document at a to b any passage covers for a window or more (None: none)."""
+        out, reach, d = None, {}, self.digits
+        for end, seeds in self.automaton.iter(self.text[d * a : d * b]):
+            p = a + (end + 1) // d - self.gram
+            for s, low, high in seeds if len(seeds) <= 16 else self._likely(p, a, b, seeds):
+                if p < reach.get((p - s, low), -1):
+                    continue  # within what was compared already
+                left = agree(self.rank[max(a, p - (s - low)) : p][::-1], self.rank[low:s][::-1])
+                right = agree(self.rank[p + self.gram : b], self.rank[s + self.gram : high])
+                reach[p - s, low] = p + self.gram + right
+                if left + self.gram + right >= self.words.window:
+                    if out is None:
+                        out = np.zeros(b - a + 1, np.int32)
+                    out[p - left - a] += 1
+                    out[p + self.gram + right - a] -= 1
+        return None if out is None else np.cumsum(out[:-1]) > 0
+
+    def _window(self, p: int, low: int, high: int, pad: int) -> np.ndarray:
+        """Words so far around an anchor at p that a window over it can reach."""
+        out = np.full(2 * self.side + self.gram, pad)
+        x, y = max(low, p - self.side), min(high, p + self.gram + self.side)
+        out[x - (p - self.side) : y - (p - self.side)] = self.rank[x:y]
+        return out
+
+    def _likely(self, p: int, a: int, b: int, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Of many passages with one anchor, those that agree with the text at p for a window at least: compared at once."""
+        if seeds[0] not in self.around:
+            self.around[seeds[0]] = np.stack([self._window(*s, -1) for s in seeds])
+        same = self.around[seeds[0]] == self._window(p, a, b, -2)
+        left, right = ~same[:, : self.side][:, ::-1], ~same[:, self.side + self.gram :]
+        n = np.where(left.any(axis=1), left.argmax(axis=1), self.side) + np.where(right.any(axis=1), right.argmax(axis=1), self.side)
+        return [seeds[i] for i in np.flatnonzero(n >= self.side)]
+
+
 def locate(words: Words, confirmed: np.ndarray) -> list[np.ndarray | None]:
-    """Covered words of each document (None: none), by an automaton over the bucket's passages."""
-    n_docs, window = len(words.cut) - 1, words.window
+    """Covered words of each document (None: none)."""
+    n_docs = len(words.cut) - 1
     out: list[np.ndarray | None] = [None] * n_docs
-    if not len(confirmed) or not len(words.whole):
-        return out
-    flags = member(confirmed, words.windows()) & words.whole
-    if not flags.any():
+    if not len(confirmed) or not words.whole.any():
         return out
-    vocabulary, rank = np.unique(words.h, return_inverse=True)
-    if len(vocabulary) >= 1 << (DIGITS * SHIFT):
-        # a text of over two million different words: the confirmed windows say directly what an automaton would
-        for i in range(n_docs):
-            own = flags[words.cut[i] : words.cut[i + 1]]
-            if own.any():
-                out[i] = spread(own[: max(0, words.cut[i + 1] - words.cut[i] - window + 1)], int(words.cut[i + 1] - words.cut[i]), window)
+    at = np.where(words.whole, places(confirmed, words.windows()), -1)
+    seen = np.flatnonzero(at >= 0)
+    if not len(seen):
         return out
-    text = as_codes(rank)
-    automaton = ahocorasick.Automaton()
-    for phrase in {text[DIGITS * a : DIGITS * (b + window - 1)] for a, b in runs(flags)}:
-        automaton.add_word(phrase, len(phrase) // DIGITS)
-    automaton.make_automaton()
-    for i in range(n_docs):
-        a, b = int(words.cut[i]), int(words.cut[i + 1])
-        covered = None
-        if b - a >= window:
-            for end, size in automaton.iter(text[DIGITS * a : DIGITS * b]):
-                if covered is None:
-                    covered = np.zeros(b - a + 1, np.int32)
-                end //= DIGITS
-                covered[end - size + 1] += 1
-                covered[end + 1] -= 1
-        if covered is not None:
-            out[i] = np.cumsum(covered[:-1]) > 0
-    return out
-
-
-def spread(flags: np.ndarray, n: int, window: int) -> np.ndarray:
-    covered = np.zeros(n + 1, np.int32)
-    for a, b in runs(flags):
-        covered[a] += 1
-        covered[b + window - 1] -= 1
-    return np.cumsum(covered[:-1]) > 0
+    first = np.zeros(len(at), bool)
+    first[seen[np.unique(at[seen], return_index=True)[1]]] = True
+    spans = [(a, b + words.window - 1) for a, b in runs(first)]
+    shard = Passages(words, spans)
+    return [shard.covered(int(words.cut[i]), int(words.cut[i + 1])) for i in range(n_docs)]
 
 
 def dedup_passages(docs: DataFrame, each: Callable, schema: StructType, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -247,32 +254,33 @@ def dedup_passages(docs: DataFrame, each: Callable, schema: StructType, id_col:
     one document too, and repeated rows are repeated texts like any others.
     """
     b = Buckets(docs, id_col, text_col, carry)
-    shards = b.shards
 
-    def pack_anchors(t: pa.Table) -> dict:
-        keys, n = distinct(Words(list(texts(t)), window, gram).anchor_places())
-        return by_shard(keys, shards, np.minimum(n, 2).astype(np.uint8))
+    def anchors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys, n, _ = distinct(Words(list(texts(t)), window, gram).anchor_places())
+        return keys, np.minimum(n, 2)
 
-    def pack_windows(t: pa.Table, answers: list[dict]) -> dict:
+    def windows(t: pa.Table, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         if not answers:
-            return {}
-        hot = np.sort(np.concatenate([np.frombuffer(x["keys"], np.uint64) for x in answers]))
+            return np.zeros(0, KEY16), np.zeros(0, np.int64)
+        hot = np.sort(np.concatenate([unpack_keys(x["keys"]) for x in answers]))
         words = Words(list(texts(t)), window, gram)
-        mine = member(hot, words.anchors()) & words.whole
-        keys, n = distinct(words.windows()[mine])
-        return by_shard(keys, shards, np.minimum(n, 2).astype(np.uint8))
+        mine = words.whole & (places(hot, words.anchors()) >= 0)
+        keys, n, _ = distinct(words.windows()[mine])
+        return keys, np.minimum(n, 2)
+
+    def recur(keys: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, int]:
+        return (total >= 2).astype(np.int64), 0
 
     def tell(t: pa.Table, answers: list[dict]) -> list:
         raws = list(texts(t))
         covered: list = [None] * len(raws)
         if answers:
-            confirmed = np.concatenate([np.frombuffer(x["keys"], KEY16) for x in answers])
+            confirmed = np.concatenate([unpack_keys(x["keys"], KEY16) for x in answers])
             covered = locate(Words(raws, window, gram), confirmed[np.argsort(confirmed["lo"], kind="stable")])
         return list(zip(*(each(raw.split(), c) for raw, c in zip(raws, covered))))
 
-    first = b.answer(b.ask(pack_anchors, ("keys", "times")), lambda x: recurring(x, np.dtype(np.uint64)), ("keys",))
-    second = b.answer(b.ask_again(first, pack_windows, ("keys", "times")), lambda x: recurring(x, KEY16), ("keys",))
-    return b.meet(second, tell, schema)
+    first = b.exchange(anchors, recur)
+    return b.meet(b.exchange(windows, recur, Plain(KEY16), after=first), tell, schema)
 
 
 DIGEST = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])

@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cytoquilt.llm import lines, passages, warc
+from cytoquilt.llm import blocks, common, lines, passages, warc
 
 WS = b" \t\n\x0b\x0c\r"
 
@@ -53,6 +54,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc_files(spark, empty).count() == 0
 
 
+def test_archives_are_bounded(spark, monkeypatch, tmp_path):
+    """Whatever the partitions, an archive holds FILE_BYTES or one record; more pages than an Arrow batch holds."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        pages = spark.range(1500).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") == 7, F.repeat(F.lit("z"), 300_000)).when(F.col("id") < 500, F.repeat(F.lit("copy "), 300)).otherwise(F.repeat(F.concat(F.lit("w"), F.col("id").cast("string")), 250)).alias("html")).coalesce(1)
+        warc.convert(warc.pages_as_arc(pages), f"{tmp_path}/w")
+        got = warc.read_warc_files(spark, f"{tmp_path}/w").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    size = sorted(len(warc.gunzip(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz"))
+    assert len(size) > 20 and size[-2] <= 50_004 and 300_000 < size[-1] < 301_000
+    assert len(got) == 1500 and all(r.sound for r in got)
+    assert {(r.record_type, r.refers_to) for r in got if r.key < 499 and r.key != 7} == {("revisit", 499)}
+    assert {r.record_type for r in got if r.key >= 499 or r.key == 7} == {"response"}
+
+
+def test_no_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        common.shared_root(Session())
+
+
 # ---- lines
 
 
@@ -72,7 +104,22 @@ def brute_lines(rows, min_chars=40, min_docs=5):
     return out
 
 
-def test_lines_equal_brute_force(spark):
+def test_lines_need_the_index(spark, monkeypatch):
+    rows = [(i, "a line that is long enough to count as one of many") for i in range(6)]
+    gone = lambda: {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs(spark, rows), lambda kept, n, gone: (n, gone, ""), lines.DIGEST).collect()}
+    assert gone() == {i: int(i < 5) for i in range(6)}
+    kept = lines.line_key(rows[0][1].encode())
+    index = lines.LineIndex(np.frombuffer(kept, lines.KEY16), np.array([6]), np.array([5]))
+    assert index.probe(np.frombuffer(lines.line_key(b"another line that is as long as the one above"), lines.KEY16))[0].tolist() == [0]
+    assert index.probe(np.frombuffer(kept, lines.KEY16))[0].tolist() == [6]
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_lines_equal_brute_force(spark, monkeypatch, shards):
+    if shards > 1:
+        monkeypatch.setattr(lines, "INDEX_BYTES", 1)
+        monkeypatch.setattr(lines, "SHARDS", shards)
+        monkeypatch.setattr(lines, "PROBERS", 2)
     line_digest = lambda kept, n, gone: (n, gone, hashlib.sha256(kept).hexdigest())
     rng = random.Random(1)
     pool = [rng.choice(["", "É"]) + f"line {k} " + "word " * rng.randrange(3, 14) for k in range(30)] + ["ñ" * 39, "ñ" * 40, "A" * 40]
@@ -90,9 +137,9 @@ def test_perfect_hash():
         keys = np.empty(n, lines.KEY16)
         keys["lo"], keys["hi"] = rng.integers(0, 1 << 63, n), rng.integers(0, 1 << 63, n)
         assert sorted(lines.PerfectHash(keys).index(keys).tolist()) == list(range(n))
-        index = lines.LineIndex(np.concatenate([keys, keys]), np.ones(2 * n, np.uint32), np.arange(2 * n))
+        index = lines.LineIndex(keys, np.arange(n) + 7, np.arange(n, 2 * n))
         count, last = index.probe(keys)
-        assert (count == 2).all() and (last == np.arange(n, 2 * n)).all()
+        assert (count == np.arange(n) + 7).all() and (last == np.arange(n, 2 * n)).all()
         strange = keys.copy()
         strange["hi"] ^= np.uint64(1 << 40)
         assert (index.probe(strange)[0] == 0).all()
@@ -117,7 +164,11 @@ def brute_passages(rows, w=35):
     return out
 
 
-def test_passages_equal_brute_force(spark):
+@pytest.mark.parametrize("deep", [False, True])
+def test_passages_equal_brute_force(spark, monkeypatch, deep):
+    if deep:  # regions and teams
+        monkeypatch.setattr(blocks, "FAN", 8)
+        monkeypatch.setattr(blocks, "TEAM", 5)
     rng = random.Random(2)
     word = lambda: rng.choice("abcdefgh") * rng.randrange(1, 4)
     shared = [" ".join(word() for _ in range(n)) for n in (34, 35, 36, 60, 200)]
@@ -132,16 +183,47 @@ def test_passages_equal_brute_force(spark):
     assert passages.dedup_passages(docs(spark, rows).where("false"), passages.digest, passages.DIGEST).count() == 0
 
 
-def test_many_different_words():
-    h = np.arange(1, 400, dtype=np.uint64)
-    w = passages.Words.__new__(passages.Words)
-    w.h, w.cut, w.window, w.gram = np.concatenate([h, h]), np.array([0, 399, 798]), 35, 16
-    w.whole = np.repeat(w.cut[1:], np.diff(w.cut))[: 798 - 34] - np.arange(798 - 34) >= 35
-    confirmed = np.sort(w.windows()[w.whole], order="lo")
-    a = passages.locate(w, confirmed)
-    shift, passages.SHIFT = passages.SHIFT, 2
-    try:
-        b = passages.locate(w, confirmed)
-    finally:
-        passages.SHIFT = shift
-    assert all((x == y).all() and x.all() for x, y in zip(a, b))
+def words_of(texts):
+    return passages.Words([t.encode() for t in texts], 35, 16)
+
+
+def confirmed_in(words):
+    keys, n, _ = blocks.distinct(words.windows()[words.whole])
+    return keys[n >= 2]
+
+
+def test_occurrences_come_from_the_automaton(monkeypatch):
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    parts = [text, text[40:140], ["x"] + text[100:134], text[10:60] + text[200:260], ["y"] * 36]
+    w = words_of([" ".join(p) for p in parts])
+    got = passages.locate(w, confirmed_in(w))
+    brute = brute_passages(list(enumerate(" ".join(p) for p in parts)))
+    assert [0 if c is None else int(c.sum()) for c in got] == [n for _, _, n, _ in brute]
+    # without what the automaton finds, nothing is covered
+    monkeypatch.setattr(passages.Passages, "covered", lambda self, a, b: None)
+    assert passages.locate(w, confirmed_in(w)) == [None] * 5
+
+
+def test_many_passages_with_one_anchor():
+    rng = random.Random(6)
+    core = " ".join(f"core{k}" for k in range(16))
+    sides = [(" ".join(f"l{k}_{j}" for j in range(12)), " ".join(f"r{k}_{j}" for j in range(12))) for k in range(40)]
+    rows = [(n, f"{a} {core} {b} tail{n}") for n, (a, b) in enumerate(sides * 2)] + [(100, f"{sides[0][0]} {core} {sides[1][1]}")]
+    rng.shuffle(rows)
+    w = words_of([t for _, t in rows])
+    assert [0 if c is None else int(c.sum()) for c in passages.locate(w, confirmed_in(w))] == [n for _, _, n, _ in brute_passages(rows)]
+
+
+def test_many_different_words(monkeypatch):
+    words = " ".join(f"w{k}" for k in range(399))
+    w = words_of([words, words, words[:600]])
+    want = passages.locate(w, confirmed_in(w))
+    monkeypatch.setattr(passages, "SHIFT", 2)  # as if the words did not fit three code points
+    got = passages.locate(w, confirmed_in(w))
+    assert all((x == y).all() and x.sum() >= 50 for x, y in zip(want, got))
+
+
+def test_one_word_many_times():
+    w = words_of(["z " * 30_000, "a b c " * 5000])
+    assert [int(c.sum()) for c in passages.locate(w, confirmed_in(w))] == [30_000, 15_000]
