@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import embedding, harmonize, ingest, layouts, preprocessing, selection, versioning, viewer
+from .plans import embedding, harmonize, ingest, layouts, preprocessing, scalars, selection, storing, versioning, viewer
 
-MODULES: tuple = (layouts, selection, ingest, harmonize, preprocessing, embedding, viewer, versioning)
+MODULES: tuple = (layouts, selection, ingest, harmonize, preprocessing, embedding, viewer, versioning, storing, scalars)
 
 
 def queries() -> dict[str, Callable]:

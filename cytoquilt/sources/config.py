@@ -76,6 +76,12 @@ def check(cfg: AppConfig) -> AppConfig:
     return replace(cfg, io=io)
 
 
+def _listed(kind: type, key: str, value):
+    """A list as a tuple; a bare name where a list may stand is a list of one."""
+    several = isinstance(next(f.default for f in fields(kind) if f.name == key), tuple)
+    return (value,) if several and isinstance(value, str) else tuple(value) if isinstance(value, list) else value
+
+
 def from_dict(raw: dict) -> AppConfig:
     known = {f.name: f for f in fields(AppConfig)}
     unknown = sorted(set(raw) - set(known))
@@ -87,7 +93,7 @@ def from_dict(raw: dict) -> AppConfig:
         bad = sorted(set(values) - {x.name for x in fields(kind)})
         if bad:
             raise ValueError(f"unknown keys in [{name}]: {bad}")
-        parts[name] = kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+        parts[name] = kind(**{k: _listed(kind, k, v) for k, v in values.items()})
     return check(AppConfig(**parts))
 
 
@@ -112,7 +118,7 @@ def override(cfg: AppConfig, **flags) -> AppConfig:
     for name in ("io", "chunks", "validation", "concat"):
         section = getattr(cfg, name)
         mine = {f.name: given[f.name] for f in fields(section) if f.name in given}
-        cfg = replace(cfg, **{name: replace(section, **{k: tuple(v) if isinstance(v, list) else v for k, v in mine.items()})})
+        cfg = replace(cfg, **{name: replace(section, **{k: _listed(type(section), k, v) for k, v in mine.items()})})
     if "sort_by" in given:
-        cfg = replace(cfg, grouping=Grouping(True, tuple(given["sort_by"])))
+        cfg = replace(cfg, grouping=Grouping(True, _listed(Grouping, "sort_by", given["sort_by"])))
     return check(cfg)

@@ -45,8 +45,10 @@ class Files:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; machine-local only where the session names none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that the cluster shares; a temporary one on a single machine only (tests)."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not shared and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors and driver have no shared folder")
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="cytoquilt-")
     return f"{base}/{name}-{os.urandom(6).hex()}"
 

@@ -34,11 +34,12 @@ def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select("_file", F.explode(runs).alias("run")).select("run.*", "_file")
 
 
-def read_triplets(spark: SparkSession, path: str) -> DataFrame:
-    """MatrixMarket coordinate files: 1-based places become 0-based triplets; comment and size lines are left out."""
+def read_triplets(spark: SparkSession, path: str, sized: bool = True) -> DataFrame:
+    """MatrixMarket coordinate files: 1-based places become 0-based triplets; comment lines are left out, and the size line if there is one."""
     lines = spark.read.text(path).where(~F.col("value").startswith("%"))
     parts = F.split(F.trim("value"), r"\s+")
-    cells = lines.select(parts.alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    size = cells.agg(F.min_by("p", F.struct("b", "i")).alias("s"))
-    rows = cells.join(size, F.lit(True)).where(~((F.col("p") == F.col("s")) & (F.col("b") == 0) & (F.col("i") == 0)))
+    rows = lines.select(parts.alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    if sized:
+        size = rows.agg(F.min_by("p", F.struct("b", "i")).alias("s"))
+        rows = rows.join(size, F.lit(True)).where(~((F.col("p") == F.col("s")) & (F.col("b") == 0) & (F.col("i") == 0)))
     return rows.select((F.col("p")[0].cast("long") - 1).alias("row_id"), (F.col("p")[1].cast("long") - 1).alias("col_id"), F.col("p")[2].cast("double").alias("value"))
