@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from ..sources.files import cut
+
 #: Ranks of the shares of the most expressed genes.
 TOPS = (50, 100, 200, 500)
 
@@ -39,7 +41,11 @@ def qc_genes(var: DataFrame, x: DataFrame, n_obs: DataFrame) -> DataFrame:
 
 
 def normalize_total(x: DataFrame, target: float | None = None) -> DataFrame:
-    """Values scaled so that each cell's total is the target: the exact median of the positive totals if none is given."""
+    """Values scaled so that each cell's total is the target: the exact median of the positive totals if none is given.
+
+    Totals, their median and the values come from one copy of x in the shared folder.
+    """
+    x = cut(x)
     totals = x.groupBy(F.col("row_id").alias("r")).agg(F.sum("value").alias("total")).where("total > 0")
     if target is None:
         goal = totals.agg(F.percentile("total", F.lit(0.5)).alias("target"))
@@ -71,6 +77,7 @@ def variable_stats(logged: DataFrame, n_obs: DataFrame, bins: int = 20, genes: D
     """(col_id, mean, dispersion, bin, norm): dispersion against the genes of like mean, in right-closed equal-width bins."""
     m = gene_moments(logged, n_obs, genes=genes).withColumn("mean", F.when(F.col("mean") == 0, 1e-12).otherwise(F.col("mean")))
     g = m.select("col_id", F.log1p("mean").alias("mean"), F.when(F.col("var") > 0, F.log(F.col("var") / F.col("mean"))).alias("dispersion"))
+    g = cut(g)  # one row for each gene, read for the bounds, the bins and the result
     ends = g.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
     b = F.greatest(F.lit(0), F.ceil(F.lit(bins) * (F.col("mean") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))) - 1)
     binned = g.join(F.broadcast(ends), F.lit(True)).select("col_id", "mean", "dispersion", F.coalesce(b, F.lit(0)).cast("int").alias("bin"))
@@ -85,6 +92,7 @@ def variable_genes(stats: DataFrame, n: int) -> DataFrame:
 
 
 def scale(x: DataFrame, n_obs: DataFrame, top: float = 10.0) -> DataFrame:
-    """Values over their gene's sample deviation, clipped; not centred, so zeros stay zeros."""
+    """Values over their gene's sample deviation, clipped; not centred, so zeros stay zeros. Moments and values come from one copy of x."""
+    x = cut(x)
     sd = gene_moments(x, n_obs, expm1=False).select(F.col("col_id").alias("g"), F.when(F.col("var") > 0, F.sqrt("var")).otherwise(F.lit(1.0)).alias("sd"))
     return x.join(sd, F.col("col_id") == F.col("g")).select("row_id", "col_id", F.least(F.col("value") / F.col("sd"), F.lit(float(top))).alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.shapes import shard_side
 from ..operators import layout as L
 from ..operators.positions import joined, positions, running_total
+from ..sources.files import cut
 from .binding import X, counts, extent, obs, var
 
 DENSE = 200
@@ -29,14 +30,15 @@ def csc_cols(spark, d):
     return p.select("col_id", F.size("indices").cast("long").alias("nnz"), _ints("indices").alias("indices"), _ints("data").alias("data"))
 
 
-def _ordered_nnz(spark, d):
-    return positions(L.major_nnz(obs(spark, d), counts(spark, d)), [])
+def _ordered_nnz(spark, d, x=None):
+    return positions(L.major_nnz(obs(spark, d), counts(spark, d) if x is None else x), [])
 
 
 def csr_flat(spark, d):
     """Flat arrays: every entry's global place is its row's start plus its place in the row."""
-    start = running_total(_ordered_nnz(spark, d), "position", "nnz", "end").select(F.col("row_id").alias("r"), (F.col("end") - F.col("nnz")).alias("start"))
-    rows = L.compressed(counts(spark, d)).join(start, F.col("row_id") == F.col("r"))
+    x = cut(counts(spark, d))
+    start = running_total(_ordered_nnz(spark, d, x), "position", "nnz", "end").select(F.col("row_id").alias("r"), (F.col("end") - F.col("nnz")).alias("start"))
+    rows = L.compressed(x).join(start, F.col("row_id") == F.col("r"))
     return rows.select("start", F.posexplode(F.arrays_zip("indices", "data")).alias("p", "c")).select((F.col("start") + F.col("p")).cast("long").alias("place"), F.col("c.indices").alias("index"), F.col("c.data").cast("long").alias("value"))
 
 

@@ -13,13 +13,12 @@ from .. import api
 from ..model import AnnMatrix
 from ..operators import ingest as I
 from ..operators import layout as L
-from ..operators import preprocess as P
 from ..operators import select as S
 from ..operators.embed import covariance as covariance_of
 from ..operators.positions import positions, running_total
 from ..session import table
 from ..sources import config as C
-from ..sources.files import Files, scratch
+from ..sources.files import Files, cut, scratch
 from ..sources.inputs import read_any
 from ..sources.readers import read_triplets
 from ..sources.store import Store, StoreError, matrix, open_x
@@ -175,7 +174,7 @@ def densify_band(spark, d):
 
 def flat_segments(spark, d):
     """The flat arrays in segments of a fixed length: entries and sum of each."""
-    x = counts(spark, d)
+    x = cut(counts(spark, d))
     nnz = positions(L.major_nnz(obs(spark, d), x), [])
     start = running_total(nnz, "position", "nnz", "end").select(F.col("row_id").alias("r"), (F.col("end") - F.col("nnz")).alias("start"))
     cells = L.compressed(x).join(start, F.col("row_id") == F.col("r")).select("start", F.posexplode("data").alias("p", "value"))

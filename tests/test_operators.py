@@ -70,7 +70,7 @@ def test_run_stats_goldens(spark):
 @given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 3)), max_size=40))
 def test_positions_and_totals(spark, rows):
     df = spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(rows)], "row_id long, k string, n long")
-    got = [r.row_id for r in P.positions(df, ["k"], block=5).orderBy("position").collect()]
+    got = [r.row_id for r in P.positions(df, ["k"]).orderBy("position").collect()]
     assert got == [i for _, i in sorted((k, i) for i, (k, _) in enumerate(rows))]
     totals = [r.t for r in P.running_total(df, "row_id", "n", "t", block=3).orderBy("row_id").collect()]
     assert totals == np.cumsum([n for _, n in rows]).tolist()
