@@ -19,19 +19,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from cytoquilt.llm import bpe, decontaminate, lines, neardup, toxicity
-from cytoquilt.llm.common import crc_mod, shared_dir, table
+from cytoquilt.llm.common import crc_mod, drop_dir, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SIMILARITY = (80, 100)
 
 
 def clean_of_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below THRESHOLD, empty and null texts too. Without labels of both kinds nothing scores that high."""
     learn = lambda x: x.where(crc_mod("doc_id", toxicity.HELD_MOD) != toxicity.HELD_REST)
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), learn, with_spans=False, carry=tuple(COLUMNS[1:]))
     return scored.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their recurring lines in one document only; n_chars is counted anew, and a null text is an empty one."""
     schema = StructType([StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def each(kept: bytes, n: int, gone: int) -> tuple[str, int]:
@@ -42,18 +44,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id stay; of rows with one id, one stays."""
+    """The rows of each group's least id, and all rows without an id.
+
+    Rows that repeat an id and a text are one, with the least of their other columns; different
+    texts of one id all stay, in a fixed way, so that a task that runs again gives the same rows.
+    """
     docs = docs.select(*COLUMNS)
     kept = neardup.near_duplicates(docs, num=SIMILARITY[0], den=SIMILARITY[1]).where("kept and doc_id is not null").select(F.col("doc_id").alias("k")).distinct()
-    real = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("k"), "left_semi").dropDuplicates(["doc_id"])
-    return real.union(docs.where("doc_id is null")).select(*COLUMNS)
+    real = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("k"), "left_semi")
+    one = real.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
+    return one.select(*COLUMNS).union(docs.where("doc_id is null"))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item within its edit budget."""
     return decontaminate.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row; an empty text has no ids."""
     schema = StructType([*bpe.DIGEST.fields, StructField("ids", ArrayType(IntegerType()))])
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.map_encoded(docs, "doc_id", "text", path, public_tokenizers.PATTERN, lambda ids, raw: (*bpe.digest(ids, raw), ids), schema)
@@ -70,9 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table. A stage's table is deleted when the next one is written; the last one stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         where = shared_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(where)
         docs = spark.read.parquet(where)
+        if before:
+            drop_dir(spark, before)
+        before = where
     return docs
