@@ -1,5 +1,6 @@
 """HTML extraction, toxicity, embedding and MinHash near-dedup, and the pipeline."""
 
+import hashlib
 import math
 import random
 import time
@@ -310,9 +311,37 @@ def test_signatures():
 # ---- pipeline
 
 
+def plain_leaks(items, text):
+    """Items that any stretch of the text comes within the budget of, by a table of edit distances."""
+    from cytoquilt.llm.decontaminate import RATE, normal
+
+    found, t = [], normal(text or "")
+    for k, item in items:
+        n = normal(item or "")
+        if n and t:
+            prev = [0] * (len(t) + 1)
+            for i, a in enumerate(n, 1):
+                cur = [i]
+                for j, b in enumerate(t, 1):
+                    cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (a != b)))
+                prev = cur
+            if min(prev) <= int(RATE * (len(n) - 2)):
+                found.append(k)
+    return found
+
+
+def put(spark, d, docs, labels, items):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, rest int, kept int, score double, bucket int, k int, raw string, __raw string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+
+
+def doc(i, t, lang="en"):
+    return (i, t, lang, "s", len(t or ""), 1, 1, 0.5, 1, 1, "r", "x")
+
+
 def test_pipeline_equals_its_parts(spark, tmp_path):
     import corpus_pipeline
-    from cytoquilt.llm.decontaminate import Matcher
     from tests_llm_helpers import brute_lines_text, near_kept
 
     rng = random.Random(8)
@@ -322,22 +351,42 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
     texts = {i: t for i, t, _ in rows}
     for i in list(texts)[1:60:2]:
         texts[i] += "\n" + footer
-    for i in (6, 10):
-        texts[i] += "\n" + item.upper()
-    copy = {1000 + k: texts[k] for k in (1, 2, 3)}
-    texts |= copy
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(5000, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
-    d = str(tmp_path)
-    docs.write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    out = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
+    texts[6] += "\n" + item.upper()
+    texts[10] += "\n" + item.replace("river", "rivr").replace("today", "todays")
+    texts[14] += "\n" + item.replace("seventh question asks", "question is").replace("in the world", "of all")
+    for k in (1, 2, 3):
+        texts[1000 + k] = texts[k]
+    put(spark, str(tmp_path), [doc(i, t) for i, t in texts.items()] + [doc(5000, None)], [(i, y) for i, _, y in rows], [(1, item), (2, None)])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    out = {r.doc_id: r for r in got.collect()}
     toxic = {i for i, _, y in rows if y}
     clean = [(i, t) for i, t in [*texts.items(), (5000, None)] if i not in toxic and not (i >= 1000 and i - 1000 in toxic)]
-    deduped = brute_lines_text(clean)
-    kept = near_kept(deduped, 80, 100)
-    matcher = Matcher([(1, item)], 0.08)
-    want = {i for i, t in kept if not matcher.find(t)}
-    assert set(out) == want and 6 not in out and 1001 not in out
-    assert all(out[i].decoded_sha256 == __import__("hashlib").sha256(t.encode()).hexdigest() for i, t in kept if i in want)
+    kept = near_kept(brute_lines_text(clean), 80, 100)
+    want = {i for i, t in kept if not plain_leaks([(1, item)], t)}
+    assert set(out) == want and 6 not in out and 10 not in out and 14 in out and 1001 not in out
+    assert all(out[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in kept if i in want)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Repeated ids, rows without id or text, long texts, clashing names; and empty tables."""
+    import corpus_pipeline
 
+    long = "w " * 30_000
+    docs = [doc(1, "one text of some words that stands here by itself"), doc(1, "quite another one under the same id, nothing like it"), doc(1, "one text of some words that stands here by itself", "fr"), doc(1, "one text of some words that stands here by itself", "de")]
+    docs += [doc(None, "a text without any id"), doc(None, "a text without any id"), doc(2, None), doc(3, ""), doc(4, long), doc(5, long + "x"), (6, "only a text", None, None, None, None, None, None, None, None, None, None)]
+    docs += [doc(7, "it holds the item which river of the world is the longest one of all")]
+    items = [(1, "Which river of the world is the longest one of all"), (None, None)]
+    put(spark, f"{tmp_path}/a", docs, [(1, 0), (None, None)], items)
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = [(r[0], sha(r[1])) for k, r in enumerate(docs) if k not in (2, 3, 11)]
+    assert sorted(want, key=str) == sorted([(r.doc_id, r.decoded_sha256) for r in got], key=str)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    first = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    kept = [sorted(map(str, stage(spark, first.repartition(n), "").where("doc_id = 1").collect())) for n in (1, 3)]
+    assert kept[0] == kept[1] and len(kept[0]) == 2 and any("'de'" in r for r in kept[0])
+    for name, some in (("no_docs", ([], [(1, 1)], items)), ("no_items", (docs, [(1, 0)], [])), ("no_labels", (docs[:3], [], items))):
+        put(spark, f"{tmp_path}/{name}", *some)
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+        assert out.count() == {"no_docs": 0, "no_items": len(want) + 1, "no_labels": 2}[name]
