@@ -8,18 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..model import AnnMatrix
 from .files import Files
+from .hdf5 import read_10x, read_h5ad
 from .readers import read_triplets
 from .store import Store
 
 
-def _h5py():
-    try:
-        import h5py
-    except ImportError as e:
-        raise RuntimeError("HDF5 files need h5py, which is not installed here; export the matrix as Parquet or MatrixMarket") from e
-    return h5py
-
-
 def names_from(df: DataFrame, key: str, name: str) -> DataFrame:
     """(key, name, columns): a table read from text in file order gets 0-based ids from a `position` column if it has one."""
     return df.withColumnRenamed("position", key) if "position" in df.columns and key not in df.columns else df
@@ -35,16 +28,6 @@ def read_folder(spark: SparkSession, path: str) -> AnnMatrix:
     return AnnMatrix(obs=obs, var=var, x=x)
 
 
-def read_10x(spark: SparkSession, path: str) -> AnnMatrix:
-    """A 10x HDF5 file: stored by barcode, so its flat arrays are rows of cells by genes. Read on one machine, as the format asks."""
-    with _h5py().File(path, "r") as f:
-        m = f["matrix"]
-        ptr, idx, data = m["indptr"][:], m["indices"][:], m["data"][:]
-        cells = [b.decode() for b in m["barcodes"][:]]
-        ids, names, kinds = ([v.decode() for v in m["features"][k][:]] for k in ("id", "name", "feature_type"))
-    return from_csr(spark, ptr, idx, data, cells, [{"var_name": n, "gene_id": i, "feature_type": k} for i, n, k in zip(ids, names, kinds)])
-
-
 def from_csr(spark: SparkSession, ptr, idx, data, cells: list[str], genes: list[dict]) -> AnnMatrix:
     """A matrix from CSR arrays that are in memory already."""
     rows = [(r, int(idx[k]), float(data[k])) for r in range(len(ptr) - 1) for k in range(int(ptr[r]), int(ptr[r + 1]))]
@@ -55,31 +38,6 @@ def from_csr(spark: SparkSession, ptr, idx, data, cells: list[str], genes: list[
     )
 
 
-def read_h5ad(spark: SparkSession, path: str) -> AnnMatrix:
-    """An .h5ad file with X in CSR; columns of obs and var that are plain arrays or categories."""
-    h5py = _h5py()
-
-    def column(group, name):
-        c = group[name]
-        if isinstance(c, h5py.Group):
-            values = [v.decode() if isinstance(v, bytes) else v for v in c["categories"][:]]
-            return [values[k] if k >= 0 else None for k in c["codes"][:]]
-        return [v.decode() if isinstance(v, bytes) else v.item() for v in c[:]]
-
-    with h5py.File(path, "r") as f:
-        x = f["X"]
-        if x.attrs.get("encoding-type") != "csr_matrix":
-            raise ValueError("X must be a CSR matrix")
-        index = lambda g: [v.decode() if isinstance(v, bytes) else v for v in g[g.attrs["_index"]][:]]
-        obs_names, var_names = index(f["obs"]), index(f["var"])
-        extra = {k: column(f["obs"], k) for k in f["obs"].attrs["column-order"]}
-        ann = from_csr(spark, x["indptr"][:], x["indices"][:], x["data"][:], obs_names, [{"var_name": v} for v in var_names])
-    if extra:
-        rows = [(i, n, *v) for i, (n, *v) in enumerate(zip(obs_names, *extra.values()))]
-        ann = AnnMatrix(obs=spark.createDataFrame(rows, ["row_id", "obs_name", *extra]), var=ann.var, x=ann.x)
-    return ann
-
-
 def read_any(spark: SparkSession, path: str, branch: str = "main") -> AnnMatrix:
     if path.endswith(".h5ad"):
         return read_h5ad(spark, path)

@@ -1,7 +1,7 @@
 """Zarr version 3 arrays and the annotated-matrix groups built of them, read and written without a library.
 
-Codecs: bytes (little endian), gzip, zstd (where zstandard is installed), transpose is not used,
-and sharding with an index at the end. Local folders; each chunk (or shard) is read by one task.
+Codecs: bytes (little endian), gzip, zstd (where zstandard is installed), blosc (read only: zstd, lz4, zlib and
+snappy inside, bytes shuffled or not), transpose is not used, and sharding with an index at the end. Local folders; each chunk (or shard) is read by one task.
 Writers make flat chunked arrays, and matrices as data, indices and indptr, as other tools read them.
 """
 
@@ -12,6 +12,7 @@ import json
 import math
 import os
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,49 @@ def _zstd():
     return zstandard
 
 
+# Fixed values of a Blosc frame (version 1): bits of its flags, and compressors by number.
+SHUFFLED, STORED, BITS_SHUFFLED, NOT_SPLIT = 0x1, 0x2, 0x4, 0x10
+COMPRESSORS = {1: "lz4", 2: "snappy", 3: "zlib", 4: "zstd"}
+
+
+def _inflate(kind: str, raw: bytes, size: int) -> bytes:
+    if kind == "zlib":
+        return zlib.decompress(raw)
+    if kind == "zstd":
+        return _zstd().ZstdDecompressor().decompress(raw, max_output_size=size)
+    return pa.Codec("lz4_raw" if kind == "lz4" else kind).decompress(raw, size).to_pybytes()
+
+
+def unblosc(raw: bytes) -> bytes:
+    """The bytes of a Blosc frame: blocks of one or of `item` streams each, then the shuffle undone."""
+    flags, item = raw[2], raw[3]
+    size, block, _ = struct.unpack_from("<III", raw, 4)
+    if flags & STORED:
+        return raw[16 : 16 + size]
+    if flags & BITS_SHUFFLED and item > 0 and not flags & SHUFFLED:
+        raise StoreError("Blosc chunks with shuffled bits are not supported")
+    kind = COMPRESSORS.get(flags >> 5)
+    if kind is None:
+        raise StoreError("Blosc chunks by blosclz are not supported")
+    out = []
+    for k in range(-(-size // block) if block else 0):
+        (at,) = struct.unpack_from("<I", raw, 16 + 4 * k)
+        length = min(block, size - k * block)
+        streams = 1 if flags & NOT_SPLIT or length < block else item
+        parts = []
+        for _ in range(streams):
+            (n,) = struct.unpack_from("<i", raw, at)
+            body, want = raw[at + 4 : at + 4 + n], length // streams
+            parts.append(body if n == want else _inflate(kind, body, want))
+            at += 4 + n
+        whole = b"".join(parts)
+        if flags & SHUFFLED and item > 1:
+            even = length // item * item
+            whole = np.frombuffer(whole, np.uint8, even).reshape(item, -1).T.tobytes() + whole[even:]
+        out.append(whole)
+    return b"".join(out)
+
+
 def decode(raw: bytes, codecs: list[dict], dtype: str, shape: tuple[int, ...]) -> np.ndarray:
     """One chunk from its bytes, codecs undone from the last."""
     if codecs and codecs[0]["name"] == "sharding_indexed":
@@ -44,6 +88,8 @@ def decode(raw: bytes, codecs: list[dict], dtype: str, shape: tuple[int, ...]) -
             raw = gzip.decompress(raw)
         elif c["name"] == "zstd":
             raw = _zstd().ZstdDecompressor().decompressobj().decompress(raw)
+        elif c["name"] == "blosc":
+            raw = unblosc(raw)
         elif c["name"] == "crc32c":
             raw = raw[:-4]
         elif c["name"] == "bytes":
