@@ -8,10 +8,9 @@ from ..functions.shapes import shard_side
 from ..operators import layout as L
 from ..operators.positions import joined, positions, running_total
 from ..sources.files import cut
-from .binding import X, counts, extent, obs, var
+from .binding import E, X, counts, extent, narrow, obs, var
 
-DENSE = 200
-TILE = (64, 64)
+TILE = (64, 24)
 GRID = (1000, 100)
 SHAPES = [(6, 3, 2, 2, 2), (100, 40, 10, 10, 4), (15000, 2000, 1000, 500, 8), (7, 7, 10, 10, 3), (50, 50, 10, 10, 1)]
 
@@ -54,11 +53,6 @@ def result_nnz(spark, d):
     return counts(spark, d).agg(F.count(F.lit(1)).alias("stored"), F.sum((F.col("value") != 0).cast("long")).alias("nonzero"))
 
 
-def _corner(spark, d):
-    """The first cells and genes by id (ids start at 0): what the DuckDB twins of densify, to_dense and to_csr cover."""
-    return counts(spark, d).where((F.col("row_id") < DENSE) & (F.col("col_id") < DENSE))
-
-
 def _densify(x, n_rows: int, n_cols: int):
     return L.tiles(x, n_rows, n_cols, *TILE).select("row_block", "col_block", "n_rows", "n_cols", "nnz", _ints("values").alias("values"))
 
@@ -73,15 +67,17 @@ def _to_csr(x, n_cols: int):
 
 
 def densify(spark, d):
-    return _densify(_corner(spark, d), DENSE, DENSE)
+    return _densify(*narrow(spark, d))
 
 
 def to_dense(spark, d):
-    return _to_dense(_corner(spark, d), DENSE)
+    x, _, n_cols = narrow(spark, d)
+    return _to_dense(x, n_cols)
 
 
 def to_csr(spark, d):
-    return _to_csr(_corner(spark, d), DENSE)
+    x, _, n_cols = narrow(spark, d)
+    return _to_csr(x, n_cols)
 
 
 def densify_whole(spark, d):
@@ -127,8 +123,7 @@ def inspect(spark, d):
 QUERIES = {f.__name__: f for f in (csr_rows, csc_cols, csr_flat, indptr, row_nnz, result_nnz, densify, to_dense, to_csr, densify_whole, to_dense_whole, to_csr_whole, csc_to_csr, canon_csr, tile_counts, shard_shapes, inspect)}
 
 _LISTS = "string_agg(c::bigint::varchar, ',' order by c) as indices, string_agg(v::bigint::varchar, ',' order by c) as data"
-_CORNER = f"{X}, k as (select r, c, v from x where r < {DENSE} and c < {DENSE})"
-_FULL = f"select a.i as r, b.i as c, coalesce(k.v, 0) as v from range({DENSE}) a(i) cross join range({DENSE}) b(i) left join k on k.r = a.i and k.c = b.i"
+_FULL = f"{E}, f as (select a.i as r, b.i as c, coalesce(k.v, 0) as v from ext, range(ext.rows) a(i), range(ext.cols) b(i) left join k on k.r = a.i and k.c = b.i)"
 ORACLE = {
     "csr_rows": f"with {X} select r as row_id, count(*) as nnz, {_LISTS} from x group by r",
     "csc_cols": f"with {X} select c as col_id, count(*) as nnz, string_agg(r::varchar, ',' order by r) as indices, string_agg(v::bigint::varchar, ',' order by r) as data from x group by c",
@@ -136,9 +131,9 @@ ORACLE = {
     "indptr": f"with {X}, n as (select o_orderkey as r, count(c) as nnz from orders left join x on o_orderkey = r group by 1) select 0::bigint as slot, 0::bigint as indptr union all select row_number() over (order by r), (sum(nnz) over (order by r))::bigint from n",
     "row_nnz": f"with {X} select o_orderkey as row_id, count(c) as nnz from orders left join x on o_orderkey = r group by 1",
     "result_nnz": f"with {X} select count(*) as stored, count(*) filter (where v <> 0) as nonzero from x",
-    "densify": f"with {_CORNER}, f as ({_FULL}) select (r // {TILE[0]})::bigint as row_block, (c // {TILE[1]})::bigint as col_block, count(distinct r)::int as n_rows, count(distinct c)::int as n_cols, count(*) filter (where v <> 0) as nnz, string_agg(v::bigint::varchar, ',' order by r, c) as values from f group by 1, 2",
-    "to_dense": f"with {_CORNER}, f as ({_FULL}) select r as row_id, string_agg(v::bigint::varchar, ',' order by c) as values from f where r in (select r from k) group by r",
-    "to_csr": f"with {_CORNER} select r as row_id, {_LISTS} from k group by r",
+    "densify": f"with {_FULL} select (r // {TILE[0]})::bigint as row_block, (c // {TILE[1]})::bigint as col_block, count(distinct r)::int as n_rows, count(distinct c)::int as n_cols, count(*) filter (where v <> 0) as nnz, string_agg(v::bigint::varchar, ',' order by r, c) as values from f group by 1, 2",
+    "to_dense": f"with {_FULL} select r as row_id, string_agg(v::bigint::varchar, ',' order by c) as values from f where r in (select r from k) group by r",
+    "to_csr": f"with {E} select r as row_id, {_LISTS} from k group by r",
     "csc_to_csr": f"with {X} select r as row_id, {_LISTS} from x group by r",
     "canon_csr": f"with {X} select r as row_id, {_LISTS} from x group by r",
     "tile_counts": f"with {X} select r // {GRID[0]} as row_block, c // {GRID[1]} as col_block, count(*) as nnz from x group by 1, 2",
