@@ -43,7 +43,8 @@ def tiles(x: DataFrame, n_rows: int, n_cols: int, row_chunk: int, col_chunk: int
     place, so the fill is one JVM expression per tile.
     """
     spark = x.sparkSession
-    grid = spark.range(-(-n_rows // row_chunk)).select(F.col("id").alias("row_block")).join(F.broadcast(spark.range(-(-n_cols // col_chunk)).select(F.col("id").alias("col_block"))), F.lit(True))
+    down, across = -(-n_rows // row_chunk), -(-n_cols // col_chunk)
+    grid = spark.range(down * across).select(F.floor(F.col("id") / max(across, 1)).cast("long").alias("row_block"), (F.col("id") % max(across, 1)).alias("col_block"))
     grid = grid.select("row_block", "col_block", F.least(F.lit(row_chunk), n_rows - F.col("row_block") * row_chunk).cast("int").alias("n_rows"), F.least(F.lit(col_chunk), n_cols - F.col("col_block") * col_chunk).cast("int").alias("n_cols"))
     key = [F.floor(F.col("row_id") / row_chunk).alias("rb"), F.floor(F.col("col_id") / col_chunk).alias("cb")]
     cells = x.where((F.col("row_id") < n_rows) & (F.col("col_id") < n_cols)).groupBy(*key).agg(

@@ -43,7 +43,8 @@ def neighbours(points: DataFrame, s: Settings) -> DataFrame:
         return embed.knn_brute(points, points, s.n_neighbors)
     if s.neighbors_algorithm not in ("ivfflat", "ivfpq", "mg_ivfflat", "mg_ivfpq"):
         raise ValueError(f"unknown neighbours algorithm {s.neighbors_algorithm}")
-    return embed.knn_ivf(points, points, s.n_neighbors, 0, 0, seed=s.random_seed)
+    pieces = embed.PIECES if s.neighbors_algorithm.endswith("ivfpq") else 0
+    return embed.knn_ivf(points, points, s.n_neighbors, 0, 0, seed=s.random_seed, pieces=pieces)
 
 
 def run(spark: SparkSession, s: Settings, on_step: Callable[[str, float], None] | None = None) -> dict:
