@@ -47,7 +47,10 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def pack_keys(keys: np.ndarray, drop: int = 0) -> bytes:
-    """Sorted keys as a first key and differences of as few bytes as the largest needs; `drop` low bits are all zero."""
+    """Sorted keys as a first key and differences, byte by byte: low bytes as they are, the highest one compressed.
+
+    Most differences need a byte less than the largest. `drop` low bits are all zero.
+    """
     if not len(keys):
         return b""
     if keys.dtype == KEY16:
@@ -56,7 +59,11 @@ def pack_keys(keys: np.ndarray, drop: int = 0) -> bytes:
     keys = keys >> np.uint64(drop)
     d = np.diff(keys)
     width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    planes = d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    top = planes[-1].tobytes()
+    thin = zlib.compress(top, 1) if len(top) > 64 else top
+    flag = 16 if len(thin) < len(top) else 0
+    return bytes([width | flag]) + keys[:1].astype("<u8").tobytes() + len(d).to_bytes(4, "little") + planes[:-1].tobytes() + (thin if flag else top)
 
 
 def unpack_keys(raw: bytes, kind=np.dtype(np.uint64), drop: int = 0) -> np.ndarray:
@@ -68,11 +75,12 @@ def unpack_keys(raw: bytes, kind=np.dtype(np.uint64), drop: int = 0) -> np.ndarr
         out = np.empty(len(low), KEY16)
         out["lo"], out["hi"] = low, np.frombuffer(raw, "<u8", offset=4 + size)
         return out
-    width = raw[0]
-    part = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
-    d = np.zeros((len(part) + 1, 8), np.uint8)
+    width, n = raw[0] & 15, int.from_bytes(raw[9:13], "little")
+    d = np.zeros((n + 1, 8), np.uint8)
     d[0] = np.frombuffer(raw, np.uint8, 8, 1)
-    d[1:, :width] = part
+    cut = 13 + n * (width - 1)
+    d[1:, : width - 1] = np.frombuffer(raw, np.uint8, n * (width - 1), 13).reshape(width - 1, n).T
+    d[1:, width - 1] = np.frombuffer(zlib.decompress(raw[cut:]) if raw[0] & 16 else raw[cut:], np.uint8)
     return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64) << np.uint64(drop)
 
 
