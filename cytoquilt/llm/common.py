@@ -99,8 +99,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014), until every vertex has
     one link, to its component's least. Each step takes a minimum per vertex, aggregated
-    before the shuffle, and joins it back; a star's hub is a hot key of that join only on the
-    edges' side, which adaptive execution splits. Edges go to the shared checkpoint folder
+    before the shuffle, and joins it back; a star's hub is a hot key of that join on the edges'
+    side alone (two numbers a row), and stays in one task until it is as large as what adaptive
+    execution splits (`skewedPartitionThresholdInBytes`). Edges go to the shared checkpoint folder
     after each round; nothing but counts reaches the driver. Partitions follow the edges.
     """
     e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("m")).distinct())

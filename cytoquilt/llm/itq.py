@@ -140,12 +140,6 @@ def from_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(raw[..., :-8]).view(np.int8) * tail[..., :1], tail[..., 1]
 
 
-def most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """What the cosine of the vectors in two rows of bytes can be at most."""
-    (x, r), (y, s) = from_bytes(a), from_bytes(b)
-    return (x * y).sum(axis=1) + r + s + 1e-5
-
-
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors in double precision, valid) of a list column; zero, null or non-finite vectors and other lengths are not valid."""
     out, ok = np.zeros((len(column), dim)), np.zeros(len(column), bool)
@@ -194,8 +188,13 @@ class Exact:
 class Rounded:
     """Vectors in bytes: near is what may be near."""
 
-    def __init__(self, raws: list[bytes]):
-        self.x, self.rest = from_bytes(np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1))
+    def __init__(self, raws: list[bytes] | np.ndarray):
+        raw = raws if isinstance(raws, np.ndarray) else np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1)
+        self.x, self.rest = from_bytes(raw)
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What the cosines of pairs can be at most."""
+        return np.einsum("ij,ij->i", self.x[a], self.x[b]) + self.rest[a] + self.rest[b] + 1e-5
 
     def near(self, a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
         return self.x[a] @ self.x[b].T + self.rest[a][:, None] + self.rest[b] + 1e-5 >= cosine
@@ -266,15 +265,15 @@ def propose_wide(wide: DataFrame, cosine: float, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, top = None, None
         for batch in batches:
-            raw = [np.frombuffer(r, np.uint8) for r in batch.column(4).to_pylist()]
-            like = np.zeros(len(raw), bool)
+            x, rest = from_bytes(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)) if batch.num_rows else (np.zeros((0, 1)), np.zeros(0))
+            like = np.zeros(len(x), bool)
             keys = list(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()))
             for i, k in enumerate(keys):  # the first comes first in its chunk
                 if k != key:
-                    key, top = k, raw[i]
+                    key, top = k, (x[i], rest[i])
                     like[i] = True
                     continue
-                like[i] = most(raw[i][None], top[None])[0] >= cosine
+                like[i] = x[i] @ top[0] + rest[i] + top[1] + 1e-5 >= cosine
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(like)], names=["bk", "rep", "lead", "like"])
 
     order = first.union(rest).select("bk", "rep", "lead", "part", "sig").repartition(parts, "bk", "part").sortWithinPartitions("bk", "part", F.col("rep") != F.col("lead"))
@@ -353,7 +352,7 @@ def _links(spark, classes: DataFrame, dim: int, total: int, cosine: float, parts
     shared_keys = banded.groupBy("bk").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1").withColumnRenamed("bk", "bk2")
     members = banded.join(shared_keys, F.col("bk") == F.col("bk2")).select("bk", "rep", "n", "lead")
     members = checkpoint(members.join(codes.select(F.col("rep").alias("r2"), "sig"), F.col("rep") == F.col("r2")).select("bk", "rep", "n", "lead", "sig"))
-    edges = propose(members.where(F.col("n") <= WIDE), cosine, parts, most)
+    edges = propose(members.where(F.col("n") <= WIDE), cosine, parts, Rounded)
     wide = members.where(F.col("n") > WIDE)
     if wide.limit(1).count():
         edges = edges.union(propose_wide(wide, cosine, parts))

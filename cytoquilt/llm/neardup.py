@@ -77,6 +77,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / PERMS - chance) / (1 - chance)
 
 
+class Signatures:
+    """Rows of packed signatures, compared in pairs."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return estimate(self.raw[a], self.raw[b])
+
+
 def least_estimate(num: int, den: int) -> float:
     j = num / den
     chance = 1.0 / (1 << BITS)
@@ -139,7 +149,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def propose(banded: DataFrame, floor: float, parts: int, alike=estimate) -> DataFrame:
+def propose(banded: DataFrame, floor: float, parts: int, kind: type = Signatures) -> DataFrame:
     """Candidate edges of bands of at most WIDE classes, from rows (bk, rep, sig): a forest of each task's candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +174,14 @@ def propose(banded: DataFrame, floor: float, parts: int, alike=estimate) -> Data
             first = np.repeat(start, size)
             me = np.arange(len(bk))
             others = me != first
-            ok = np.zeros(len(bk), bool)
-            ok[others] = alike(sig[me[others]], sig[first[others]]) >= floor
+            ok, seen = np.zeros(len(bk), bool), kind(sig)
+            ok[others] = seen.pair(me[others], first[others]) >= floor
             pairs = [(x, y) for x, y in zip(rep[first[ok]].tolist(), rep[me[ok]].tolist()) if forest.join(x, y)]
             for i in np.flatnonzero(others & ~ok):  # unlike the band's first: against all later members, and those before that were like it
                 a, b = first[i] + 1, first[i] + size[np.searchsorted(start, i, side="right") - 1]
                 j = np.concatenate([np.arange(a, i)[ok[a:i]], np.arange(i + 1, b)])
                 if len(j):
-                    for y in rep[j[alike(sig[j], sig[i][None, :]) >= floor]].tolist():
+                    for y in rep[j[seen.pair(j, np.full(len(j), i)) >= floor]].tolist():
                         if forest.join(int(rep[i]), y):
                             pairs.append((int(rep[i]), y))
             if pairs:
