@@ -32,7 +32,7 @@ BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIN_CHARS, MIN_DOCS = 40, 5
 GAMMA, LEVELS = 1.7, 24
 #: Bytes of documents whose recurring lines make a shard, shards at most, and buckets that probe one copy of a shard.
-INDEX_BYTES, SHARDS, PROBERS = 64 << 20, 4096, 24
+INDEX_BYTES, SHARDS, PROBERS = 64 << 20, 4096, 8
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
