@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from .common import BUCKET_BYTES, field, parts_for, scan_bytes, tune
 
 #: Blocks that a bucket or a team writes at most, and buckets in a team.
-FAN, TEAM = 4096, 4096
+FAN, TEAM = 8192, 8192
 KEY16 = np.dtype([("lo", "<u8"), ("hi", "<u8")])
 NULL_ID = -(1 << 63)
 
