@@ -9,8 +9,10 @@
    near the threshold. In a band with very many classes all are proposed to one cluster.
 4. Clusters of candidates are confirmed on full sets, read from the texts again: chunks of
    a bounded number of classes, with some pivots in every chunk of a large cluster, and
-   then every class outside the cluster's largest component against all other chunks.
-   So every pair of a cluster that is not connected yet is compared, in blocks.
+   then every class outside the cluster's largest component against all others, in blocks
+   of some of these by some of all. So every pair of a cluster that is not connected yet is
+   compared once, or twice if both are outside. A block counts all its intersections at
+   once, by products of matrices for the hashes that many of its sets hold.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ PERMS = BAND_ROWS * BANDS
 MARGIN = 4.5
 #: Classes in a band beyond which all of them go to one cluster, and classes in a chunk.
 WIDE, CHUNK, PIVOTS = 256, 128, 8
+#: Hashes that a chunk holds about, where texts are long; chunks on each side of a block.
+CHUNK_HASHES, SIDE = 1 << 18, 8
+#: Hashes, and pairs of rows, that are counted at a time.
+SLAB, PAIRS = 2048, 1 << 21
 
 _RNG = np.random.default_rng(20_11)
 SALTS = _RNG.integers(1, 2**32, PERMS, dtype=np.uint32)
@@ -197,56 +203,101 @@ def chain_last(batches):
     yield None
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of the sorted sets a with each of b.
+
+    A hash that few rows hold adds one to each of their pairs; those that many rows hold are
+    columns of two matrices of zeros and ones, whose product is their share of the counts.
+    """
+    out = np.zeros(len(a) * len(b), np.int64)
+    x, y = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(x, y)
+    if not len(both):
+        return out.reshape(len(a), len(b))
+
+    def entries(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows ordered by the place of their hash in both, where the rows of a place begin, and how many they are."""
+        at = np.searchsorted(both, flat)
+        at[at == len(both)] = 0
+        held = both[at] == flat
+        row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[held], at[held]
+        count = np.bincount(at, minlength=len(both))
+        return row[np.argsort(at, kind="stable")], np.cumsum(count) - count, count
+
+    row_a, first_a, n_a = entries(a, x)
+    row_b, first_b, n_b = entries(b, y)
+
+    def spread(places: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of all entries of these places, and which of the places each is of."""
+        n = count[places]
+        which = np.repeat(np.arange(len(places)), n)
+        return first[places][which] + np.arange(len(which)) - (np.cumsum(n) - n)[which], which
+
+    pairs = n_a * n_b
+    dense = pairs * 256 >= len(out)
+    few = np.flatnonzero(~dense)
+    upto = np.cumsum(pairs[few])
+    for part in np.split(few, np.searchsorted(upto, np.arange(PAIRS, upto[-1], PAIRS))) if len(few) else []:
+        ia, which = spread(part, first_a, n_a)  # entries of a, each with all entries of b at its place
+        n = n_b[part][which]
+        e = np.repeat(np.arange(len(ia)), n)
+        ib = first_b[part][which][e] + np.arange(len(e)) - (np.cumsum(n) - n)[e]
+        out += np.bincount(row_a[ia][e] * len(b) + row_b[ib], minlength=len(out))
+    many, out = np.flatnonzero(dense), out.reshape(len(a), len(b))
+    for k in range(0, len(many), SLAB):
+        part = many[k : k + SLAB]
+        sides = []
+        for sets, row, first, count in ((a, row_a, first_a, n_a), (b, row_b, first_b, n_b)):
+            i, which = spread(part, first, count)
+            side = np.zeros((len(sets), len(part)), np.float32)
+            side[row[i], which] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
 def confirm(rows: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """Edges confirmed on full sets within groups (g, chunk) of rows (g, chunk, rep, comp, key, raw): a forest of each group.
+    """Edges confirmed on full sets within groups (g, chunk) of rows (g, chunk, asks, rep, comp, key, raw): a star for each component.
 
-    Rows of the same comp are known to be connected already (null: nothing is known). A row
-    whose text is not the one of its class (an id that comes with several texts) is passed over.
+    Rows that ask are compared with those that do not (asks null: each row with all others).
+    Rows of the same comp are known to be connected already (null: nothing is known), and an
+    edge is between the comps of two rows. A row whose text is not the one of its class (an id
+    that comes with several texts) is passed over.
     """
 
-    def group(ids: list[int], comps: list, keys: list[bytes], raws: list[bytes]) -> list[tuple[int, int]]:
-        forest, known, out = Forest(), {}, []
-        for i, c in zip(ids, comps):
-            if c is not None:
-                forest.join(known.setdefault(c, i), i)
-        found = {}
-        for i, key, raw in zip(ids, keys, raws):
-            if (i, key) not in found and xxhash.xxh3_128_digest((s := shingles(raw)).tobytes()) == key:
-                found[i, key] = s
-        sets = [(i, s) for (i, _), s in found.items()]
-        sets.sort(key=lambda x: len(x[1]))
-        for at, (i, s) in enumerate(sets):
-            n = len(s)
-            for j, t in sets[at + 1 :]:
-                m = len(t)
-                if den * n < num * m:
-                    break
-                if forest.find(i) == forest.find(j):
-                    continue
-                pos = np.searchsorted(t, s)
-                pos[pos == m] = 0
-                both = int((t[pos] == s).sum())
-                if den * both >= num * (n + m - both):
-                    forest.join(i, j)
-                    out.append((i, j))
-        # without earlier knowledge a group's links are told as stars around its least ids
-        return [(i, r) for i in {x for x, _ in found} if (r := forest.find(i)) != i] if not known else out
+    def group(asks: list, ids: list[int], comps: list, keys: list[bytes], raws: list[bytes]) -> list[tuple[int, int]]:
+        found: dict[tuple, tuple[int, np.ndarray]] = {}
+        for ask, i, c, key, raw in zip(asks, ids, comps, keys, raws):
+            if (ask, i, key) not in found and xxhash.xxh3_128_digest((s := shingles(raw)).tobytes()) == key:
+                found[ask, i, key] = i if c is None else c, s
+        one = [x for k, x in found.items() if k[0] is not False]
+        other = [x for k, x in found.items() if k[0] is not True]
+        if not one or not other:
+            return []
+        both = overlaps([s for _, s in one], [s for _, s in other])
+        size = np.array([len(s) for _, s in one])[:, None] + np.array([len(s) for _, s in other])
+        p, q = np.nonzero(den * both >= num * (size - both))
+        c, d = np.array([c for c, _ in one])[p], np.array([c for c, _ in other])[q]
+        forest = Forest()
+        for x, y in np.unique(np.stack([c, d], 1)[c != d], axis=0).tolist():
+            forest.join(x, y)
+        return [(x, r) for x in list(forest.up) if (r := forest.find(x)) != x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, comps, keys, raws = None, [], [], [], []
+        at, held = None, []
         for batch in chain_last(batches):
             done: list[tuple[int, int]] = []
-            rows = zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [(None,) * 6]
-            for g, chunk, rep, comp, own, raw in rows:
-                if (g, chunk) != key:
-                    if len(ids) > 1:
-                        done += group(ids, comps, keys, raws)
-                    key, ids, comps, keys, raws = (g, chunk), [], [], [], []
-                ids.append(rep), comps.append(comp), keys.append(own), raws.append(raw)
+            rows = zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else [(None,) * 7]
+            for g, chunk, *row in rows:
+                if (g, chunk) != at:
+                    if len(held) > 1:
+                        done += group(*zip(*held))
+                    at, held = (g, chunk), []
+                held.append(row)
             if done:
                 yield _edges(done)
 
-    return rows.select("g", "chunk", "rep", "comp", "key", "raw").repartition(parts, "g", "chunk").sortWithinPartitions("g", "chunk").mapInArrow(run, EDGE)
+    return rows.select("g", "chunk", "asks", "rep", "comp", "key", "raw").repartition(parts, "g", "chunk").sortWithinPartitions("g", "chunk").mapInArrow(run, EDGE)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100) -> DataFrame:
@@ -260,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts // 4)
     signed = checkpoint(sign(docs, id_col, text_col))
     real = signed.where("id is not null and key is not null")
-    classes = checkpoint(real.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = checkpoint(real.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     banded = classes.select("rep", F.explode("bands").alias("bk"))
     shared = banded.groupBy("bk").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1")
     members = checkpoint(banded.join(shared.withColumnRenamed("bk", "bk2"), F.col("bk") == F.col("bk2")).select("bk", "rep", "n", "lead"))
@@ -270,25 +321,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = real.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("id")
     same_id = real.join(twice.withColumnRenamed("id", "i2"), F.col("id") == F.col("i2")).select("id", "key").join(classes.select(F.col("key").alias("k2"), "rep"), F.col("key") == F.col("k2")).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     clusters = components(propose(small, least_estimate(num, den), few).union(wide).distinct())
-    sized = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    chunks = F.ceil(F.col("m") / CHUNK).cast("long")
-    placed = clusters.join(sized.withColumnRenamed("comp", "g"), F.col("comp") == F.col("g")).select("g", F.col("v").alias("rep"), chunks.alias("chunks"), F.pmod(F.xxhash64("v"), chunks).alias("chunk"), ((F.pmod(F.xxhash64("v", F.lit(7)), F.col("m")) < PIVOTS) | (F.col("v") == F.col("g"))).alias("pivot"))
-    placed = checkpoint(placed)
+    named = clusters.select(F.col("comp").alias("g"), "v").join(classes.select("rep", "key", "n"), F.col("v") == F.col("rep"))
+    sized = named.groupBy(F.col("g").alias("g2")).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("hashes"))
+    chunks = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("hashes") / CHUNK_HASHES)).cast("long")
     # a class's text: one row of its representative id, whichever has the class's set
-    reps = placed.join(classes.select(F.col("rep").alias("r2"), "key"), F.col("rep") == F.col("r2")).select("g", "rep", "key", "chunks", "chunk", "pivot")
+    reps = checkpoint(named.join(sized, F.col("g") == F.col("g2")).select("g", "rep", "key", chunks.alias("chunks"), F.pmod(F.xxhash64("v"), chunks).alias("chunk"), ((F.pmod(F.xxhash64("v", F.lit(7)), F.col("m")) < PIVOTS) | (F.col("v") == F.col("g"))).alias("pivot")))
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw")).where("id is not null")
     bodies = checkpoint(raw.join(reps, F.col("id") == F.col("rep")).select("g", "rep", "key", "chunks", "chunk", "pivot", "raw"))
-    spread = bodies.select("g", "rep", "key", F.lit(None).cast("long").alias("comp"), "raw", F.explode(F.when(F.col("pivot") & (F.col("chunks") > 1), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))).alias("chunk"))
+    spread = bodies.select("g", "rep", "key", F.lit(None).cast("long").alias("comp"), F.lit(None).cast("boolean").alias("asks"), "raw", F.explode(F.when(F.col("pivot") & (F.col("chunks") > 1), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))).alias("chunk"))
     edges = checkpoint(confirm(spread, num, den, parts).union(same_id).distinct())
     found = components(edges)
-    # clusters of several chunks: whatever is outside their largest component meets all other chunks
-    large = bodies.where("chunks > 1").join(found.select("v", F.col("comp").alias("c")), F.col("rep") == F.col("v"), "left").select("g", "rep", "chunks", "chunk", F.coalesce("c", "rep").alias("comp"))
-    large = checkpoint(large)
-    most = large.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select(F.col("g").alias("g2"), F.col("top.comp").alias("top"))
-    left = large.join(most, F.col("g") == F.col("g2")).select("g", "rep", "chunks", "chunk", "comp", (F.col("comp") != F.col("top")).alias("out"))
+    # clusters of several chunks: whatever is outside their largest component meets all others
+    large = bodies.where("chunks > 1").join(found.select("v", F.col("comp").alias("c")), F.col("rep") == F.col("v"), "left").select("g", "rep", "key", "chunks", F.coalesce("c", "rep").alias("comp"))
+    large = checkpoint(large.distinct())
+    tops = large.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    tops = tops.select(F.col("g").alias("g2"), F.col("top.comp").alias("top"), (1 - F.col("top.k") / F.col("m")).alias("share"))
+    all_sides = F.ceil(F.col("chunks") / SIDE).cast("long")
+    out_sides = F.greatest(F.lit(1), F.ceil(F.col("chunks") * F.col("share") / SIDE)).cast("long")
+    left = large.join(tops, F.col("g") == F.col("g2")).select("g", "rep", "key", "comp", (F.col("comp") != F.col("top")).alias("out"), all_sides.alias("alls"), out_sides.alias("outs"))
     if left.limit(1).count():
-        texts = bodies.select(F.col("rep").alias("r3"), "key", "raw")
-        again = left.join(texts, F.col("rep") == F.col("r3")).select("g", "rep", "comp", "key", "raw", F.explode(F.when(F.col("out"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))).alias("chunk"))
+        # a row that asks has a place among the outs and goes to that place's blocks; any row has one among all
+        place = lambda n: F.pmod(F.xxhash64("rep", F.lit(n)), F.col(n))
+        each = lambda n, block: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), block)).alias("chunk")
+        texts = bodies.where("chunks > 1").select(F.col("rep").alias("r3"), F.col("key").alias("k3"), "raw")
+        told = left.join(texts, (F.col("rep") == F.col("r3")) & (F.col("key") == F.col("k3")))
+        asked = told.select("g", F.lit(False).alias("asks"), "rep", "comp", "key", "raw", each("outs", lambda x: x * F.col("alls") + place("alls")))
+        again = asked.union(told.where("out").select("g", F.lit(True).alias("asks"), "rep", "comp", "key", "raw", each("alls", lambda x: place("outs") * F.col("alls") + x)))
         edges = edges.union(confirm(again, num, den, parts)).distinct()
         found = components(edges)
     label = classes.select("key", "rep").join(found, F.col("rep") == F.col("v"), "left").select(F.col("key").alias("k2"), F.coalesce("comp", "rep").alias("comp"))

@@ -296,6 +296,43 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
         assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_a_large_group_meets_in_blocks(spark, monkeypatch):
+    """What one task compares at once is bounded, however many of a group are outside its largest component."""
+    monkeypatch.setattr(neardup, "CHUNK", 8)
+    monkeypatch.setattr(neardup, "SIDE", 1, raising=False)
+    most, confirm = [], neardup.confirm
+
+    def watched(rows, *rest):
+        most.append(rows.groupBy("g", "chunk").count().agg(F.max("count")).first()[0])
+        return confirm(rows, *rest)
+
+    monkeypatch.setattr(neardup, "confirm", watched)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        t = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            t[rng.randrange(len(t))] += rng.choice("abcdefghij") * rng.randrange(1, 20)
+        rows.append((i, " ".join(t)))
+    want = brute_near(rows)
+    assert sum(c != 0 for _, _, c, _ in want) > 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, neardup.near_duplicates(df).collect())) == want
+    assert len(most) == 2 and max(most) <= 60
+
+
+@pytest.mark.parametrize("at_a_time", [3, 1 << 20])
+def test_overlaps_equal_single_intersections(monkeypatch, at_a_time):
+    monkeypatch.setattr(neardup, "SLAB", at_a_time)
+    monkeypatch.setattr(neardup, "PAIRS", at_a_time)
+    rng = np.random.default_rng(2)
+    for na, nb, words in ((1, 1, 5), (5, 7, 40), (60, 50, 400), (30, 40, 1 << 40)):
+        a, b = ([np.unique(rng.integers(0, words, rng.integers(1, 90)).astype(np.uint64)) for _ in range(n)] for n in (na, nb))
+        b[0] = a[0]
+        assert (neardup.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
 def test_signatures():
     rng = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.85, 0.95):
