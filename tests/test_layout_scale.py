@@ -26,7 +26,7 @@ def test_tiles_are_dealt_by_their_cells(spark, monkeypatch):
     """Few entries in a large grid: its text is written by many tasks, whatever is shuffled before."""
     monkeypatch.setattr(L, "TASK_CELLS", 10_000)
     x = trip(spark, [(0, 0, 3.0), (299, 399, 5.0), (299, 399 - 64, 7.0)])
-    for make, (rc, cc) in ((lambda: ingest._concat_dense(x, 300, 400), (50, 64)),):
+    for make, (rc, cc) in ((lambda: ingest._concat_dense(x, 300, 400), (50, 64)), (lambda: layouts._densify(x, 300, 400), layouts.TILE)):
         assert make().rdd.getNumPartitions() == 12
         got = {(r.row_block, r.col_block): r["values"] for r in make().collect()}
         assert len(got) == -(-300 // rc) * -(-400 // cc) and sum(len(v.split(",")) for v in got.values()) == 300 * 400
