@@ -37,3 +37,15 @@ def test_to_csr_of_a_very_wide_matrix(spark):
     """Only slices that hold something are made dense: a row of a thousand million columns would not fit."""
     x = trip(spark, [(0, 5, 2.0), (0, 63, 0.0), (0, 64, 1.0), (7, 999_999_999, 4.0), (9, 3, 0.0)])
     assert sorted(tuple(r) for r in layouts._to_csr(x, 10**9).collect()) == [(0, "5,64", "2,1"), (7, "999999999", "4")]
+
+
+def test_dense_rows_are_dealt_by_their_cells(spark, monkeypatch):
+    monkeypatch.setattr(L, "TASK_CELLS", 10_000)
+    dense = np.zeros((40, 1000), int)
+    dense[3, [0, 7, 999]], dense[5, 500] = [4, 5, 6], 1
+    packed = L.compressed(trip(spark, [(int(i), int(j), float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]))
+    rows = L.dense_rows_text(packed, 40, 1000)
+    assert rows.rdd.getNumPartitions() == 4
+    assert {r.row_id: r["values"] for r in rows.collect()} == {i: ",".join(map(str, dense[i])) for i in (3, 5)}
+    assert {r.row_id: r["values"] for r in L.dense_rows(packed, 3, 6).collect()} == {3: [0.0, 5.0, 0.0], 5: [0.0] * 3}
+    assert [r["values"] for r in L.dense_rows_text(packed, 40, 0).collect()] == ["", ""]  # no columns: no values
