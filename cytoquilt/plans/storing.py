@@ -138,12 +138,16 @@ def convert_sorted(spark, d):
 
 
 def write_dispatch(spark, d):
-    """Every entry through both sparse formats of one writer."""
+    """Every entry through both sparse formats of one writer. Places are added up as decimals; the sum is a long, as in SQL, unless it is beyond longs, where SQL has no answer."""
     out = []
     for fmt in ("csr", "csc"):
         s = _store(spark, d, fmt).readonly()
-        out.append(matrix(s).agg(F.lit(open_x(s)["format"]).alias("format"), F.count(F.lit(1)).alias("nnz"), F.sum("value").alias("total"), F.sum(F.col("row_id") * F.col("col_id")).alias("places")))
-    return out[0].union(out[1])
+        places = (F.col("row_id") * F.col("col_id")).cast("decimal(38,0)")
+        out.append(matrix(s).agg(F.lit(open_x(s)["format"]).alias("format"), F.count(F.lit(1)).alias("nnz"), F.sum("value").alias("total"), F.sum(places).alias("places")))
+    rows = out[0].union(out[1]).collect()  # one row for each format
+    if any(r["places"] is not None and abs(r["places"]) >= 1 << 63 for r in rows):
+        return _rows(spark, rows, "format string, nnz long, total double, places decimal(38,0)")
+    return _rows(spark, [(r["format"], r["nnz"], r["total"], None if r["places"] is None else int(r["places"])) for r in rows], "format string, nnz long, total double, places long")
 
 
 def _dense(spark, d) -> AnnMatrix:
